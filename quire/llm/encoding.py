@@ -91,17 +91,17 @@ class PieceEncoder:
         if len(known) < CACHE:
             known.update(now)
         else:
-            known = _Either(known, now)
+            known = Either(known, now)
         if len(self.first) < CACHE // 10:
             self.first.update(first)
             first = self.first
         else:
-            first = _Either(self.first, first)
+            first = Either(self.first, first)
         get = known.__getitem__
         return [first[own[0]] + b"".join(map(get, own[1:])) + ends.get(n, b"") for n, own in enumerate(parts)]
 
 
-class _Either(dict):
+class Either(dict):
     """Two mappings read as one."""
 
     def __init__(self, a: dict, b: dict):
