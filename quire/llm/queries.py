@@ -2,9 +2,22 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import dac, graph_ann, langid, licenses, packing, pii, simhash, spotsigs, suffix_pieces, superkmer
 
 QUERIES = {
     "op1_simhash": simhash.op1,
+    "op2_sentencepiece": suffix_pieces.op2,
+    "op3_nearest": graph_ann.op3,
+    "op4_packing": packing.op4,
+    "op5_language": langid.op5,
+    "op6_substrings": superkmer.op6,
+    "op7_spotsigs": spotsigs.op7,
+    "op8_licenses": licenses.op8,
+    "op9_token_ids": dac.op9,
+    "op10_pii": pii.op10,
+}
+ORACLES: dict[str, str] = {
+    "op6_substrings": superkmer.ORACLE,
+    "op7_spotsigs": spotsigs.ORACLE,
+    "op8_licenses": licenses.ORACLE,
 }
-ORACLES: dict[str, str] = {}

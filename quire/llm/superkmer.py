@@ -241,3 +241,15 @@ def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("row.text"))
     new = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("row.n_chars"))}
     return out.select(*[new.get(c, F.col(f"row.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS s FROM d),
+v AS (SELECT doc_id, s, array_to_string(w[s:s + 34], ' ') AS v FROM s),
+r AS (SELECT doc_id, s FROM v WHERE v IN (SELECT v FROM v GROUP BY v HAVING count(*) > 1)),
+c AS (SELECT DISTINCT doc_id, unnest(range(s, s + 35)) AS p FROM r),
+p AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM p ANTI JOIN c USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, len(d.w) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id"""
