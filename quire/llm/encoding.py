@@ -18,7 +18,7 @@ import numpy as np
 
 from .common import chunked
 
-CACHE = 500_000
+CACHE = 1_000_000
 _TOGETHER = 64
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -72,19 +72,24 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, in order."""
-        parts, odd, firsts = [x.split(" ") for x in texts], {}, set()
-        new, known = set(), self.inner
-        for n, own in enumerate(parts):
-            fresh = {p for p in own[1:] if p not in known}
-            if self.spaced and not all(map(self._regular, fresh)) or not self._regular(own[-1]):
-                parts[n] = own = _SAFE.split(texts[n])
-                if not self._regular(own[-1]) and len(own) > 1:
+        parts, odd, known = [x.split(" ") for x in texts], {}, self.inner
+        heads = [own[0] for own in parts]
+        for own in parts:
+            del own[0]
+        new = set().union(*parts).difference(known)
+        if self.spaced:
+            bad = {p for p in new if not self._regular(p)}
+            for n, own in enumerate(parts):
+                if self._regular(heads[n]) and (not bad or bad.isdisjoint(own)):
+                    continue
+                own = _SAFE.split(texts[n])
+                heads[n] = own.pop(0)
+                if own and not self._regular(own[-1]):
                     odd[n] = " " + own.pop()
-                fresh = {p for p in own[1:] if p not in known}
-            new |= fresh
-            if own[0] not in self.first:
-                firsts.add(own[0])
-        new, firsts = list(new), list(firsts)
+                parts[n] = own
+                new.update(own)
+            new = new.difference(bad, known)
+        new, firsts = sorted(new), sorted(set(heads).difference(self.first))
         now = dict(zip(new, self._together(new)))
         first = dict(zip(firsts, self._alone(firsts)))
         ends = dict(zip(odd, self._alone(list(odd.values()))))
@@ -98,7 +103,9 @@ class PieceEncoder:
         else:
             first = Either(self.first, first)
         get = known.__getitem__
-        return [first[own[0]] + b"".join(map(get, own[1:])) + ends.get(n, b"") for n, own in enumerate(parts)]
+        if ends:
+            return [first[h] + b"".join(map(get, own)) + ends.get(n, b"") for n, (h, own) in enumerate(zip(heads, parts))]
+        return [first[h] + b"".join(map(get, own)) for h, own in zip(heads, parts)]
 
 
 class Either(dict):
