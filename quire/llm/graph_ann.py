@@ -33,8 +33,10 @@ class Graph:
     def __init__(self, unit: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, seed: int = 11):
         self.x, self.n, self.degree, self.beam = unit, len(unit), degree, beam
         self.edges = np.full((self.n, degree), -1, np.int32)
-        mean = unit.mean(0)
-        self.entry = int(np.argmax(unit @ mean)) if self.n else 0
+        self.entry = 0
+        if not self.n:
+            return
+        self.entry = int(np.argmax(unit @ unit.mean(0)))
         order = np.random.default_rng(seed).permutation(self.n)
         for a in (1.0, alpha):
             at, size = 0, 8 if a == 1.0 else _BATCH
@@ -187,7 +189,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHA
                     sizes = [len(p) for p in points]
                     usual = max(set(sizes), key=sizes.count) if sizes else 0
                     names = [n for n, p in zip(names, points) if len(p) == usual]
-                    original = np.array([p for p in points if len(p) == usual]).reshape(-1, usual)
+                    fitting = [p for p in points if len(p) == usual]
+                    original = np.array(fitting, float).reshape(len(fitting), usual)
                     unit = (original / _norm(original)).astype(np.float32)
                     graph = Graph(unit)
                 pending.append(i)
