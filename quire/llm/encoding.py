@@ -68,7 +68,7 @@ class PieceEncoder:
         return out
 
     def _regular(self, piece: str) -> bool:
-        return not self.spaced or bool(piece) and not piece[0].isspace() and not piece[-1].isspace()
+        return not self.spaced or bool(piece) and piece.strip() == piece
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, in order."""
