@@ -112,10 +112,12 @@ class Encoder:
         self.joins = {model.pieces[i]: i for i in own}
         self.pairs: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
-        self.bytes = [p.encode().replace(MARK.encode(), b" ") for p in model.pieces]
+        spelled = [p.encode().replace(MARK.encode(), b" ") for p in model.pieces]
         for b, i in enumerate(model.byte_ids):
-            self.bytes[i] = bytes([b])
-        self.bytes[1] = self.bytes[2] = b""
+            spelled[i] = bytes([b])
+        spelled[1] = spelled[2] = b""
+        self.spelled, self.widths = np.frombuffer(b"".join(spelled), np.uint8), np.fromiter(map(len, spelled), np.int32, len(spelled))
+        self.places = np.cumsum(self.widths, dtype=np.int32) - self.widths
 
     def _codes(self, text: str) -> np.ndarray:
         points = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
@@ -146,13 +148,10 @@ class Encoder:
         out = (before < 0) | (before == self.m.unknown) | (after == self.m.unknown)
         ask = np.flatnonzero(~out)
         key, back = np.unique(before[ask].astype(np.int64) << 32 | after[ask], return_inverse=True)
-        known, found = self.pairs, np.empty(len(key), bool)
-        for n, k in enumerate(key.tolist()):
-            got = known.get(k)
-            if got is None:
-                got = known[k] = self._apart(k >> 32, k & 0xFFFFFFFF)
-            found[n] = got
-        out[ask] = found[back]
+        known, keys = self.pairs, key.tolist()
+        for k in [k for k, got in zip(keys, map(known.get, keys)) if got is None]:
+            known[k] = self._apart(k >> 32, k & 0xFFFFFFFF)
+        out[ask] = np.fromiter(map(known.__getitem__, keys), bool, len(keys))[back]
         return out
 
     def _words(self, words: list[str]) -> list[bytes]:
@@ -225,8 +224,14 @@ class Encoder:
 
     def decode(self, ids: bytes) -> str:
         """The text of these ids: pieces joined, marks as spaces, the space in front dropped."""
-        raw = b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-        return raw.decode("utf-8", "replace").removeprefix(" ")
+        out = []
+        for at in range(0, len(ids), 4 * TOGETHER):
+            own = np.frombuffer(ids[at : at + 4 * TOGETHER], "<u4")
+            widths = self.widths[own]
+            ends = np.cumsum(widths, dtype=np.int32)
+            take = np.arange(ends[-1], dtype=np.int32) + np.repeat(self.places[own] - ends + widths, widths)
+            out.append(self.spelled[take].tobytes())
+        return b"".join(out).decode("utf-8", "replace").removeprefix(" ")
 
 
 @lru_cache(maxsize=2)
