@@ -53,21 +53,25 @@ def strip(points: Column, height: Column) -> Column:
     The northern points, the southern ones backwards, and the first again, cut to whole numbers. End points take a mirrored
     neighbour; a point whose neighbours share x is left out.
     """
-    n = F.size(points)
-    at = lambda i: F.get(points, i)
+    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
     mirror = lambda a, b: point(2 * a["x"] - b["x"], 2 * a["y"] - b["y"])
-    before = lambda i: F.when(i == 0, mirror(at(F.lit(0)), at(F.lit(1)))).otherwise(at(i - 1))
-    after = lambda i: F.when(i == n - 1, mirror(at(n - 1), at(n - 2))).otherwise(at(i + 1))
+    at = lambda p, k: F.element_at(p, F.lit(k))
+    half = height / 2
 
-    def angle(i: Column) -> Column:
-        p, a, b = at(i), before(i), after(i)
-        lx, ly, rx, ry = a["x"] - p["x"], a["y"] - p["y"], b["x"] - p["x"], b["y"] - p["y"]
+    def angle(t: Column) -> Column:
+        lx, ly = t["a"]["x"] - t["p"]["x"], t["a"]["y"] - t["p"]["y"]
+        rx, ry = t["b"]["x"] - t["p"]["x"], t["b"]["y"] - t["p"]["y"]
         return F.when(lx == 0, -F.atan(ry / rx)).when(rx == 0, F.atan(ly / lx)).otherwise((F.atan(ly / lx) + F.atan(ry / rx)) / 2)
 
-    def offset(i: Column, sign: int) -> Column:
-        turn, half = angle(i), height / 2
-        return point((at(i)["x"] - sign * half * F.sin(turn) * -1).cast("int"), (at(i)["y"] - sign * half * F.cos(turn)).cast("int"))
+    def outline(longer: Column) -> Column:
+        around = F.transform(F.sequence(F.lit(1), F.size(longer) - 2), lambda i: F.struct(F.get(longer, i - 1).alias("a"), F.get(longer, i).alias("p"), F.get(longer, i + 1).alias("b")))
+        kept = F.filter(around, lambda t: t["a"]["x"] != t["b"]["x"])
+        moves = F.transform(F.transform(kept, lambda t: F.struct(t["p"].alias("p"), angle(t).alias("turn"))), lambda u: F.struct(u["p"].alias("p"), (half * F.sin(u["turn"])).alias("x"), (half * F.cos(u["turn"])).alias("y")))
+        return let(moves, joined)
 
-    kept = F.filter(F.sequence(F.lit(0), n - 1), lambda i: before(i)["x"] != after(i)["x"])
-    north, south = F.transform(kept, lambda i: offset(i, 1)), F.transform(kept, lambda i: offset(i, -1))
-    return F.concat(north, F.reverse(south), F.slice(north, 1, 1))
+    def joined(moves: Column) -> Column:
+        side = lambda m, sign: point((m["p"]["x"] + sign * m["x"]).cast("int"), (m["p"]["y"] - sign * m["y"]).cast("int"))
+        return F.concat(F.transform(moves, lambda m: side(m, 1)), F.transform(F.reverse(moves), lambda m: side(m, -1)), F.transform(F.slice(moves, 1, 1), lambda m: side(m, 1)))
+
+    longer = let(points, lambda p: F.concat(F.array(mirror(at(p, 1), at(p, 2))), p, F.array(mirror(at(p, -1), at(p, -2)))))
+    return F.when(F.size(points) >= 2, let(longer, outline))

@@ -67,3 +67,30 @@ def estimate_errors(counts: DataFrame) -> DataFrame:
     """Differences and relative errors of estimated and predicted line counts; ``fold`` is their ratio turned to at most one."""
     d = lambda c: F.col(c) - F.col("gt")
     return counts.select("page_id", d("est").alias("est_err"), d("pred").alias("pred_err"), F.try_divide(d("est"), F.col("gt")).alias("est_rel"), F.try_divide(d("pred"), F.col("gt")).alias("pred_rel"), F.try_divide(F.least("est", "gt"), F.greatest("est", "gt")).alias("fold"))
+
+
+def work_list(given: DataFrame, listed: DataFrame, marked: DataFrame, layout: str = ".layout.json", output: str = ".lines.json") -> DataFrame:
+    """(image, layout_path, output_path), sorted: given images, and listed ones whose folder has the marker file.
+
+    ``given`` and ``listed`` have a ``path`` column, ``marked`` a ``folder`` column; repeated paths count once.
+    """
+    folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+    own = given.select("path").union(listed.select("path").withColumn("folder", folder).join(marked, "folder", "left_semi").select("path")).distinct()
+    stem = F.regexp_replace("path", r"\.[^./]*$", "")
+    return own.select(F.col("path").alias("image"), F.concat(stem, F.lit(layout)).alias("layout_path"), F.concat(stem, F.lit(output)).alias("output_path")).orderBy("image")
+
+
+def count_rows(pages: DataFrame, gt: DataFrame, earlier: DataFrame, estimates: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Line counts side by side: true ones (else those of an earlier annotation, else -1), estimated and predicted.
+
+    Each table has ``page_id`` and ``n``.
+    """
+    out = pages.select("page_id")
+    for name, t in (("gt", gt), ("earlier", earlier), ("est", estimates), ("pred", predictions)):
+        out = out.join(t.select("page_id", F.col("n").alias(name)), "page_id", "left")
+    return out.select("page_id", F.coalesce("gt", "earlier", F.lit(-1)).alias("gt"), F.coalesce("est", F.lit(-1)).alias("est"), F.coalesce("pred", F.lit(-1)).alias("pred"))
+
+
+def remainder(items: DataFrame, sample: DataFrame, key: str) -> DataFrame:
+    """Items that are not in the sample."""
+    return items.join(sample.select(key), key, "left_anti")

@@ -111,3 +111,53 @@ def biggest_region(regions: DataFrame) -> DataFrame:
     area = (F.col("r") - F.col("l")) * (F.col("b") - F.col("t"))
     best = F.min_by(F.struct("region_idx", "l", "t", "r", "b"), F.struct((-area).alias("a"), "region_idx"))
     return regions.groupBy("page_id").agg(best.alias("x")).select("page_id", "x.*")
+
+
+def page_region(width: Column, height: Column) -> Column:
+    """Polygon of a whole page."""
+    x, y = (width - 1).cast("double"), (height - 1).cast("double")
+    corner = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+    zero = F.lit(0.0)
+    return F.array(corner(zero, zero), corner(x, zero), corner(x, y), corner(zero, y))
+
+
+def stripped(pages: DataFrame, fields: list[str], comment: str | None = None) -> DataFrame:
+    """Nested documents whose lines lack the named fields; with a comment, all of them carry it."""
+    lean = F.transform("regions", lambda r: r.withField("lines", F.transform(r["lines"], lambda x: x.dropFields(*fields))))
+    out = pages.withColumn("regions", lean)
+    return out if comment is None else out.withColumn("comment", F.lit(comment))
+
+
+def rescaled(lines: DataFrame, factor: float, polygon: str = "coords") -> DataFrame:
+    """Lines whose polygon is a strip around the baseline, ``factor`` times the x-height high.
+
+    Lines without an x-height, and all lines for a factor of one, keep their ``polygon``.
+    """
+    from quire.functions.geometry import shifted, strip
+
+    if factor == 1:
+        return lines.withColumn("coords", F.col(polygon))
+    up = shifted(F.col("baseline"), F.lit(0), -F.col("x_height") / 2)
+    made = strip(up, (F.col("x_height") * F.lit(factor)).cast("int"))
+    return lines.withColumn("coords", F.when(F.col("x_height").isNull() | (F.size("baseline") < 2), F.col(polygon)).otherwise(made))
+
+
+def tall_enough(lines: DataFrame, deviations: float = 1.5, height: str = "line_height") -> DataFrame:
+    """Lines higher than their region's mean height less so many deviations."""
+    by = Window.partitionBy("page_id", "region_idx")
+    least = F.round(F.avg(height).over(by) - deviations * F.stddev_pop(height).over(by), 9)
+    return lines.withColumn("least", least).filter(F.col(height) > F.col("least")).drop("least")
+
+
+def biggest_region_lines(regions: DataFrame, lines: DataFrame) -> DataFrame:
+    """(page_id, region_idx, n_lines) of each page's biggest region."""
+    counts = lines.groupBy("page_id", "region_idx").agg(F.count("*").alias("n"))
+    met = biggest_region(regions).join(counts, ["page_id", "region_idx"], "left")
+    return met.select("page_id", "region_idx", F.coalesce("n", F.lit(0)).alias("n_lines"))
+
+
+def size_mismatches(notes: DataFrame, images: DataFrame) -> DataFrame:
+    """Pages whose annotation states another size than the image has."""
+    b = images.select("page_id", F.col("width").alias("image_width"), F.col("height").alias("image_height"))
+    met = notes.select("page_id", "width", "height").join(b, "page_id")
+    return met.filter((F.col("width") != F.col("image_width")) | (F.col("height") != F.col("image_height")))

@@ -75,3 +75,29 @@ def unpacked(value):
 def packed(labels):
     """A packed pixel of up to four labels."""
     return F.aggregate(labels, F.lit(0), lambda a, x: F.shiftleft(a, 8).bitwiseOR(x.cast("int")))
+
+
+def label_sums(spans: DataFrame) -> DataFrame:
+    """Elementary runs (page_id, y, x0, x1, label): the sum of the labels that cover them."""
+    one = lambda x, sign: F.struct(x.alias("x"), F.lit(sign).alias("d"), (F.col("label") * sign).cast("bigint").alias("v"))
+    ends = F.explode(F.array(one(F.col("x0"), 1), one(F.col("x1") + 1, -1)))
+    events = spans.select("page_id", "y", ends.alias("e")).groupBy("page_id", "y", F.col("e.x").alias("x")).agg(F.sum("e.d").alias("d"), F.sum("e.v").alias("v"))
+    by = Window.partitionBy("page_id", "y").orderBy("x")
+    upto = by.rowsBetween(Window.unboundedPreceding, 0)
+    swept = events.select("page_id", "y", F.col("x").alias("x0"), (F.lead("x").over(by) - 1).alias("x1"), F.sum("v").over(upto).alias("label"), F.sum("d").over(upto).alias("depth"))
+    return swept.filter(F.col("depth") > 0).drop("depth")
+
+
+def deep_areas(spans: DataFrame) -> DataFrame:
+    """Size of each label, each pixel weighed by one over the number of labels that share it."""
+    d = depth(spans).select("page_id", "y", F.col("x0").alias("d0"), F.col("x1").alias("d1"), "depth")
+    met = spans.join(d, ["page_id", "y"]).filter((F.col("d0") <= F.col("x1")) & (F.col("x0") <= F.col("d1")))
+    size = F.least("x1", "d1") - F.greatest("x0", "d0") + 1
+    return met.groupBy("page_id", "label").agg(F.sum(size / F.col("depth")).alias("area"))
+
+
+def crops(spans: DataFrame) -> DataFrame:
+    """Each label's runs relative to its bounding box, with the box."""
+    box = spans.groupBy("page_id", "label").agg(F.min("x0").alias("l"), F.min("y").alias("t"), F.max("x1").alias("r"), F.max("y").alias("b"))
+    met = spans.join(box, ["page_id", "label"])
+    return met.select("page_id", "label", "l", "t", "r", "b", (F.col("y") - F.col("t")).alias("y"), (F.col("x0") - F.col("l")).alias("x0"), (F.col("x1") - F.col("l")).alias("x1"))
