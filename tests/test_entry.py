@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from quire.jobs import catalogue, curation  # noqa: F401
+from quire.jobs import catalogue, curation, training  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 
