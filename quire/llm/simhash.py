@@ -16,17 +16,12 @@ Equal fingerprints are merged before the search, keys with a single member are d
 by a partial aggregate, and a key with many members is cut into parts that are compared
 two at a time, so no task holds an unbounded group. Only a spanning forest of each
 comparison leaves the task, never all pairs.
-
-For documents that are similar but not close (``parts`` > 0), the keys are instead
-digests of classes of the shingle set: classes hold about ``PART`` shingles, and a pair
-with Jaccard similarity of 0.8 shares one of 16 classes with probability over 0.99.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import floor, log2
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +34,6 @@ from .components import components
 
 SEED = 42
 BITS = 64
-#: Shingles a class holds on average, for the digests of classes.
-PART = 6
 #: Members of one key that are compared in one piece.
 PIECE = 1024
 _STEP = 1 << 15
@@ -70,47 +63,15 @@ def vote(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-def class_digests(hashes: np.ndarray, classes: int) -> list[int]:
-    """Order-free digests of the first classes of the shingle set, at one or two class sizes."""
-    found = np.unique(hashes)
-    if not len(found):
-        return []
-    x = log2(len(found) / PART) if len(found) > PART else 0.0
-    out = []
-    with np.errstate(over="ignore"):
-        mixed = found * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(29)
-        for level in sorted({floor(x), floor(x + 0.5)}):
-            of = (mixed & np.uint64((1 << level) - 1)).astype(np.int64)
-            keep = of < classes
-            sums = np.zeros(min(classes, 1 << level), np.uint64)
-            np.add.at(sums, of[keep], (mixed[keep] ^ (mixed[keep] >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93))
-            used = np.bincount(of[keep], minlength=len(sums)) > 0
-            salt = np.uint64((level * 0x100000001B3 + 1) & (2**64 - 1))
-            out += (((sums + np.arange(len(sums), dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9)) ^ salt)[used]).view(np.int64).tolist()
-    return out
-
-
-def fingerprints(docs: DataFrame, width: int = 3, parts: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, fp[, digests])``, a row for each row of ``docs``; null and blank texts get zero."""
+def fingerprints(docs: DataFrame, width: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(doc_id, fp)``, a row for each row of ``docs``; null and blank texts get zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            fps, digests = [], []
-            for raw in byte_texts(batch.column(1)):
-                hashes = shingle_hashes(raw, width)
-                fps.append(vote(hashes))
-                if parts:
-                    digests.append(class_digests(hashes, parts))
-            out = [batch.column(0).cast(pa.int64()), pa.array(fps, pa.int64())]
-            names = ["doc_id", "fp"]
-            if parts:
-                out.append(pa.array(digests, pa.list_(pa.int64())))
-                names.append("digests")
-            yield pa.RecordBatch.from_arrays(out, names)
-
-    schema = "doc_id bigint, fp bigint" + (", digests array<bigint>" if parts else "")
-    return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+            fps = [vote(shingle_hashes(raw, width)) for raw in byte_texts(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+
+    return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
 
 
 def references(blocks: int) -> list[list[int]]:
@@ -218,22 +179,18 @@ def links(keyed: DataFrame, max_bits: int) -> DataFrame:
     return dealt.repartition(F.col("key"), F.col("piece")).sortWithinPartitions("key", "piece").mapInArrow(_compared(max_bits), "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 2, parts: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, fp, component_id)``, a row for each row of ``docs``.
 
     Fingerprints link at ``max_bits`` or fewer differing bits; component_id is the least
-    doc_id reachable. With ``parts`` = 0 every link is found; else fingerprints need
-    to share one of the digests of ``parts`` shingle classes as well. Null and blank texts have
+    doc_id reachable. Every link is found. Null and blank texts have
     fingerprint zero and link like any other. Repeated rows, ties and null ids are kept:
     a null id is never a component_id unless its component has nothing else. Columns of
     ``docs`` besides the two named play no part. An empty table gives an empty table.
     """
-    prints = stored(fingerprints(docs, width, parts, key, text), "fp")
+    prints = stored(fingerprints(docs, width, key, text), "fp")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    if parts:
-        keyed = prints.select(F.explode("digests").alias("key"), "fp").distinct()
-    else:
-        keyed = classes.select(F.explode(family_keys(F.col("fp"), max_bits)).alias("key"), "fp")
+    keyed = classes.select(F.explode(family_keys(F.col("fp"), max_bits)).alias("key"), "fp")
     roots = components(links(keyed, max_bits)).withColumnRenamed("node", "fp")
     led = classes.join(roots, "fp")
     leaders = led.groupBy("root").agg(F.min("first").alias("leader"))
@@ -250,13 +207,8 @@ def op1(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, width: int = 5, max_bits: int = 12, parts: int = 16) -> DataFrame:
-    """The documents less all but the first (least doc_id) of each near-duplicate group.
+def one_of_each(docs: DataFrame, width: int = 5) -> DataFrame:
+    """The documents less all but the first of each near-duplicate group; its links are verified shingle sets."""
+    from .shingle_sets import one_of_each
 
-    Five-word shingles; fingerprints with at least 0.8 of their bits equal link if they share a
-    shingle class. Rows with a null doc_id are kept, of repeated rows one stays.
-    """
-    found = near_duplicates(docs, width, max_bits, parts)
-    chosen = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    known = docs.filter(F.col("doc_id").isNotNull()).join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    return one_of_each(docs, width)
