@@ -43,6 +43,24 @@ def test_recall_of_keys(n):
     assert lost <= 1
 
 
+def test_forest_equals_brute_force():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**64, 50, dtype=np.uint64)
+    sets = [np.unique(np.r_[rng.permutation(base)[: rng.integers(36, 51)], rng.integers(0, 2**64, rng.integers(0, 6), dtype=np.uint64)]) for _ in range(60)]
+    near = {(i, j) for i in range(60) for j in range(i + 1, 60) if len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= 0.8}
+    linked = shingle_sets.forest(sets)
+    assert set(linked) <= near
+
+    def groups(pairs):
+        of = list(range(60))
+        for _ in range(60):
+            for i, j in pairs:
+                of[i] = of[j] = min(of[i], of[j])
+        return of
+
+    assert groups(linked) == groups(near)
+
+
 def test_a_key_with_many_members(spark, monkeypatch):
     """A group whose members link in a chain only, none with the least member of their keys, cut into parts."""
     monkeypatch.setattr(shingle_sets, "PIECE", 8)
