@@ -68,3 +68,12 @@ def test_a_key_with_many_members(spark, monkeypatch):
     long = words(r, 400)
     rows = [(i, " ".join(long[4 * i : 4 * i + 104])) for i in range(60)]
     assert [x.doc_id for x in simhash.one_of_each(spark.createDataFrame(rows, SCHEMA)).collect()] == [0]
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    r = random.Random(9)
+    a, b, c, d, e = (" ".join(words(r, 60)) for _ in range(5))
+    rows = [(3, b), (5, a), (5, b + " end"), (5, a), (None, c), (None, c + " end"), (None, d), (None, a), (7, e), (7, e + " end")]
+    left = [tuple(x) for x in simhash.one_of_each(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert len(left) == 5 and {(3, b), (5, a), (None, d)} <= set(left)
+    assert len({(None, c), (None, c + " end")} & set(left)) == 1 and len({(7, e), (7, e + " end")} & set(left)) == 1
