@@ -17,17 +17,21 @@ from .common import table
 #: What is looked for, in order of precedence.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
-    "secret": r"\bAKIA[0-9A-Z]{16}\b|\b(?:token|secret|api[_-]?key|password|passwd|pwd)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_-]{8,}",
-    "date": r"(?<![\d-])[12]\d{3}-[01]\d-[0-3]\d(?![\d-])",
+    "secret": r"\bAKIA[0-9A-Z]{16}\b|\b(?i:token|secret|api[_-]?key|password|passwd|pwd)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_-]{8,}",
+    "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
+    "date": r"(?<![\d-])[12]\d{3}-[01]\d-[0-3]\d(?![\d-])|(?<![\d./])[12]\d{3}(?:/[01]?\d/[0-3]?\d|\.[01]?\d\.[0-3]?\d)(?![\d/]|\.\d)"
+    r"|(?<![\d./-])(?:[0-3]?\d/[0-3]?\d/|[0-3]?\d\.[0-3]?\d\.|[0-3]?\d-[0-3]?\d-)[12]\d{3}(?![\d-]|[./]\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d)",
-    "card": r"(?<![\d])[1-9]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\d])",
+    "card": r"(?<![\d])[1-9]\d{3}(?:(?:[ -]?\d{4}){2}[ -]?\d{1,7}|[ -]\d{6}[ -]\d{4,5})(?![\d])",
     "phone": r"(?<![\d])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)",
+    "abroad": r"(?<![\d+])\+[2-9](?:[ ./()-]{0,2}\d){6,13}(?!\d)|(?<![\d.,])00 ?[2-9]\d{0,2}[ ./-](?:[ ./()-]{0,2}\d){5,12}(?!\d)"
+    r"|(?<![\d.,+])0[1-9](?:[ .-]\d{2}){4}(?![\d.-])|(?<![\d.,+-])0[1-9]\d{1,3}[ /-]\d{5,8}(?![\d-])",
 }
 ROUNDS = 10
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: Days of the calendar that dates are permuted within, from FIRST_DAY: 280 x 261 cells hold them.
-FIRST_DAY, DAYS, HALVES = "1900-01-01", 73049, (280, 261)
+#: Dates are permuted within 200 years, counted from this one: 280 x 261 cells hold their days.
+FIRST_YEAR, HALVES = 1900, (280, 261)
 
 
 def _hash(key: str, *parts: Column) -> Column:
@@ -35,13 +39,14 @@ def _hash(key: str, *parts: Column) -> Column:
     return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), *parts), 256), 1, 15), 16, 10).cast("bigint")
 
 
-def feistel(key: str, kind: str, left: Column, right: Column, a: Column, b: Column) -> Column:
+def feistel(key: str, kind: str | Column, left: Column, right: Column, a: Column, b: Column) -> Column:
     """The struct (l, r) that the network makes of left (below a) and right (below b)."""
+    kind = F.lit(kind) if isinstance(kind, str) else kind
     start = F.struct(left.cast("bigint").alias("l"), right.cast("bigint").alias("r"))
 
     def turn(s: Column, i: Column) -> Column:
-        l_new = F.pmod(s["l"] + F.pmod(_hash(key, F.lit(kind), i.cast("string"), a.cast("string"), b.cast("string"), s["r"].cast("string")), a), a)
-        r_new = F.pmod(s["r"] + F.pmod(_hash(key, F.lit(kind), i.cast("string"), a.cast("string"), b.cast("string"), s["l"].cast("string")), b), b)
+        l_new = F.pmod(s["l"] + F.pmod(_hash(key, kind, i.cast("string"), a.cast("string"), b.cast("string"), s["r"].cast("string")), a), a)
+        r_new = F.pmod(s["r"] + F.pmod(_hash(key, kind, i.cast("string"), a.cast("string"), b.cast("string"), s["l"].cast("string")), b), b)
         return F.when(i % 2 == 1, F.struct(l_new.cast("bigint").alias("l"), s["r"].alias("r"))).otherwise(F.struct(s["l"].alias("l"), r_new.cast("bigint").alias("r")))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn)
@@ -102,6 +107,45 @@ def _phone(hit: Column, key: str) -> Column:
     return _let(_digits(hit), go)
 
 
+def _abroad(hit: Column, key: str) -> Column:
+    """The first two digits (four after 00) stay, so the country mostly does."""
+
+    def go(d: Column) -> Column:
+        head = F.when(d.startswith("00"), 4).otherwise(2)
+        half = F.floor((F.length(d) - head) / 2).cast("int")
+        size = (F.length(d) - head - half).cast("int")
+        new = feistel(key, "abroad", F.substring(d, head + 1, half).cast("bigint"), F.substring(d, head + half + 1, size).cast("bigint"), _power(half), _power(size))
+        return _let(new, lambda s: _refill(hit, F.concat(F.substring(d, F.lit(1), head), _pad(s["l"], half), _pad(s["r"], size))))
+
+    return _let(_digits(hit), go)
+
+
+def _rest_97(x: Column) -> Column:
+    """Remainder by 97 of a text of digits and letters, A being 10."""
+    step = lambda s, c: F.when(c.rlike("[0-9]"), (s * 10 + c.cast("int")) % 97).otherwise((s * 100 + F.ascii(c) - 55) % 97).cast("int")
+    return F.aggregate(F.filter(F.split(x, ""), lambda c: c != ""), F.lit(0), step)
+
+
+def _iban(hit: Column, key: str) -> Column:
+    """The digits after the check digits are permuted, the check digits follow."""
+
+    def go(x: Column) -> Column:
+        country, own = F.substring(x, 1, 2), F.substring(x, F.lit(5), F.length(x))
+        valid = _rest_97(F.concat(own, F.substring(x, 1, 4))) == 1
+
+        def new(d: Column) -> Column:
+            half = F.floor(F.length(d) / 2).cast("int")
+            size = (F.length(d) - half).cast("int")
+            mixed = feistel(key, "iban", F.substring(d, F.lit(1), half).cast("bigint"), F.substring(d, half + 1, size).cast("bigint"), _power(half), _power(size))
+            out = _let(mixed, lambda s: F.concat(_pad(s["l"], half), _pad(s["r"], size)))
+            full = _let(out, lambda o: F.concat(_pad(98 - _rest_97(F.concat(_refill(own, o), country, F.lit("00"))), 2), o))
+            return F.when(valid & (F.length(d) > 1), _refill(hit, full)).otherwise(hit)
+
+        return _let(_digits(own), new)
+
+    return _let(F.replace(hit, F.lit(" "), F.lit("")), go)
+
+
 def _ssn(hit: Column, key: str) -> Column:
     part = lambda i: F.get(F.split(hit, "-"), i).cast("bigint")
     area, group, serial = part(0), part(1), part(2)
@@ -123,12 +167,37 @@ def _ip(hit: Column, key: str) -> Column:
 
 
 def _date(hit: Column, key: str) -> Column:
-    """Walks on while the network leads outside the calendar; at most 31 cells lie there."""
-    day = F.datediff(F.try_to_timestamp(hit, F.lit("yyyy-MM-dd")).cast("date"), F.lit(FIRST_DAY).cast("date"))
+    """Year first, or day first, or month first if only that is in the calendar; the order stays.
+
+    Walks on while the network leads outside the calendar; at most 32 cells lie there.
+    """
     a, b = HALVES
-    once = lambda d: _let(feistel(key, "date", F.floor(d / b), d % b, F.lit(a), F.lit(b)), lambda s: s["l"] * b + s["r"])
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(a * b - DAYS)), once(day.cast("bigint")), lambda d, _: F.when(d < DAYS, d).otherwise(once(d)))
-    return F.when(day.between(0, DAYS - 1), F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), walked.cast("int")), "yyyy-MM-dd")).otherwise(hit)
+    part = F.transform(F.split(hit, "[./-]"), lambda x: x.cast("int"))
+    mark = F.regexp_extract(hit, "[./-]", 0)
+    padded = F.length(hit) == 10
+
+    def go(p: Column) -> Column:
+        year_first, month_first = p[0] > 999, p[1] > 12
+        year, month, day = F.when(year_first, p[0]).otherwise(p[2]), F.when(~year_first & month_first, p[0]).otherwise(p[1]), F.when(year_first, p[2]).when(month_first, p[1]).otherwise(p[0])
+        start = (F.lit(FIRST_YEAR) + 200 * F.floor((year - FIRST_YEAR) / 200)).cast("int")
+        first = F.make_date(start, F.lit(1), F.lit(1))
+        days = F.datediff(F.make_date(start + 200, F.lit(1), F.lit(1)), first)
+        at = F.try_to_timestamp(F.concat_ws("-", _pad(year, 4), _pad(month, 2), _pad(day, 2)), F.lit("yyyy-MM-dd")).cast("date")
+        era = F.when(start == FIRST_YEAR, F.lit("date")).otherwise(F.concat(F.lit("date"), start.cast("string")))
+
+        def walk(s: Column) -> Column:
+            once = lambda d: _let(feistel(key, s["era"], F.floor(d / b), d % b, F.lit(a), F.lit(b)), lambda x: x["l"] * b + x["r"])
+            return F.aggregate(F.sequence(F.lit(1), F.lit(32)), once(s["at"].cast("bigint")), lambda d, _: F.when(d < s["days"], d).otherwise(once(d)))
+
+        def put(new: Column) -> Column:
+            show = lambda form: F.date_format(new, form)
+            m, d = F.when(padded, show("MM")).otherwise(show("M")), F.when(padded, show("dd")).otherwise(show("d"))
+            return F.when(year_first, F.concat(show("yyyy"), mark, m, mark, d)).when(month_first, F.concat(m, mark, d, mark, show("yyyy"))).otherwise(F.concat(d, mark, m, mark, show("yyyy")))
+
+        walked = _let(F.struct(F.datediff(at, first).alias("at"), days.alias("days"), era.alias("era")), walk)
+        return F.when(at.isNotNull(), _let(F.date_add(first, walked.cast("int")), put)).otherwise(hit)
+
+    return _let(part, go)
 
 
 def _email(hit: Column, key: str) -> Column:
@@ -136,14 +205,14 @@ def _email(hit: Column, key: str) -> Column:
 
 
 def _secret(hit: Column, key: str) -> Column:
-    head = F.regexp_extract(hit, r"^(AKIA|[a-z_-]+\s*[=:]\s*[\"']?)", 1)
+    head = F.regexp_extract(hit, r"^(AKIA|[A-Za-z_-]+\s*[=:]\s*[\"']?)", 1)
     body = F.substring(hit, F.length(head) + 1, F.length(hit))
     new = F.sha2(F.concat_ws("|", F.lit(key), F.lit("secret"), body), 256)
     new = F.rpad(new, F.length(body), F.lit("0"))
     return F.concat(head, F.when(head == "AKIA", F.upper(new)).otherwise(new))
 
 
-KINDS = {"email": _email, "secret": _secret, "date": _date, "ssn": _ssn, "ip": _ip, "card": _card, "phone": _phone}
+KINDS = {"email": _email, "secret": _secret, "iban": _iban, "date": _date, "ssn": _ssn, "ip": _ip, "card": _card, "phone": _phone, "abroad": _abroad}
 
 
 def pseudonym(hit: Column, key: str) -> Column:
@@ -161,7 +230,7 @@ def mask(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     pass through, and a column named ``n_pii`` of the input is replaced. Values that fail their check stay.
     """
     own = docs.drop("n_pii") if text != "n_pii" else docs
-    may = F.col(text).rlike(r"[0-9@]|AKIA|(?:token|secret|key|password|passwd|pwd)\s{0,3}[=:]")
+    may = F.col(text).rlike(r"[0-9@]|AKIA|(?i:token|secret|key|password|passwd|pwd)\s{0,3}[=:]")
     parts = F.when(may, F.struct(F.split(F.col(text), ANY, -1).alias("gaps"), F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0)).alias("hits")))
 
     def put(p: Column) -> Column:

@@ -1,0 +1,48 @@
+"""Forms of private values beyond the plain ones, each with its check."""
+
+import datetime
+
+import pytest
+
+pytest.importorskip("public_tokenizers")
+from quire.llm import pii  # noqa: E402
+
+CARDS = ["3782 822463 10005", "3782-822463-10005", "3056 930902 5904"]
+IBANS = ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "FR14 2004 1010 0505 0001 3M02 606", "NO93 8601 1117 947"]
+DATES = ["29/02/2024", "29.02.2024", "29-02-2024", "02/29/2024", "2024/02/29", "2024.02.29", "5/3/2024", "1789-07-14", "14/07/1789", "2150-01-31"]
+PHONES = ["+33 1 42 68 53 00", "+49 (0)30 1234567", "+34 912 345 678", "+442079460958", "0033 1 42 68 53 00", "01 42 68 53 00", "030/1234567"]
+SECRETS = ['TOKEN = "9233A8EC77AB"', "Password: hunter2hunter2", "API_KEY=abcdEFGH1234"]
+STAY = ["3782 822463 10006", "DE89370400440532013001", "30/02/2024", "2023/02/29", "32.01.2024", "1/2/3", "version 1.2.2024.5", "00234567"]
+
+
+def digits(x):
+    return "".join(c for c in x if c.isdigit())
+
+
+def luhn(d):
+    return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def rest(x):
+    x = x.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97
+
+
+def test_forms(spark):
+    values = CARDS + IBANS + DATES + PHONES + SECRETS + STAY
+    frame = spark.createDataFrame([(i, f"before {v} after") for i, v in enumerate(values)], "doc_id bigint, text string")
+    got = {values[r.doc_id]: (r.text.removeprefix("before ").removesuffix(" after"), r.n_pii) for r in pii.mask(frame, "k").collect()}
+    for v in STAY:
+        assert got[v] == (v, 0)
+    for v in CARDS + IBANS + DATES + PHONES + SECRETS:
+        new, n = got[v]
+        assert n == 1 and new != v and (v in SECRETS or v in DATES or len(new) == len(v)), (v, new)
+    assert all(luhn(digits(got[v][0])) for v in CARDS)
+    assert all(rest(v) == 1 == rest(got[v][0]) and got[v][0][:2] == v[:2] for v in IBANS)
+    assert got["GB82 WEST 1234 5698 7654 32"][0][5:9] == "WEST"
+    forms = ["%d/%m/%Y", "%d.%m.%Y", "%d-%m-%Y", "%m/%d/%Y", "%Y/%m/%d", "%Y.%m.%d", "%d/%m/%Y", "%Y-%m-%d", "%d/%m/%Y", "%Y-%m-%d"]
+    new = [datetime.datetime.strptime(got[v][0], f).date() for v, f in zip(DATES, forms)]
+    assert new[0] == new[1] == new[2] == new[3] == new[4] == new[5] and 1900 <= new[0].year < 2100
+    assert new[7] == new[8] and 1700 <= new[7].year < 1900 <= 2100 <= new[9].year < 2300
+    assert all(got[v][0].startswith(v.split("=")[0].split(":")[0]) for v in SECRETS)
+    assert all(got[v][0][:3] == v[:3] for v in PHONES if v[0] == "+")
