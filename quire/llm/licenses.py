@@ -63,12 +63,12 @@ def scan(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "te
     their notices. Other columns play no part.
     """
     known = F.broadcast(known.groupBy("digest").agg(F.min("license").alias("license")))
-    own = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    lines = own.select("doc_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
-    digests = lines.select("doc_id", F.sha2(canonical(F.col("line")), 256).alias("digest"))
-    notices = digests.join(known, "digest").groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
-    whole = own.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest")).join(known, "digest", "left")
-    met = whole.alias("w").join(notices.alias("n"), F.col("w.doc_id").eqNullSafe(F.col("n.doc_id")), "left")
+    own = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    lines = own.select("doc_id", "tie", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
+    digests = lines.select("doc_id", "tie", F.sha2(canonical(F.col("line")), 256).alias("digest"))
+    notices = digests.join(known, "digest").groupBy("doc_id", "tie").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
+    whole = own.select("doc_id", "tie", F.sha2(canonical(F.col("text")), 256).alias("digest")).join(known, "digest", "left")
+    met = whole.alias("w").join(notices.alias("n"), F.col("w.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("w.tie") == F.col("n.tie")), "left")
     return met.select("w.doc_id", "digest", "license", F.coalesce("notices", F.lit("")).alias("notices"))
 
 
