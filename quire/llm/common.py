@@ -1,42 +1,70 @@
-"""Shared helpers of the corpus operators: table access, checkpoints, batches."""
+"""Shared helpers of the corpus operators: table access, stored tables, batches."""
 
 from __future__ import annotations
 
 import itertools
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows, and bytes, of the batches that go to Python workers; long texts make them smaller.
+BATCH_ROWS, BATCH_BYTES = 2048, 16 << 20
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df.mapInArrow`` with batches that stay small whatever the rows hold; the session keeps these two settings."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(tidy, schema)
+
+
+_held: dict = {}
+
+
+def held(name: object, make: Callable[[], object]) -> object:
+    """The worker's object of this name. Those of other names are let go, so a worker that goes on to another operator keeps one cache."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def public_tokenizer(name: str) -> str:
+    """The path of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    ``spark.checkpoint.dir`` is read from the session. Only where it is unset
-    (single-machine tests) a temporary folder takes its place.
+    ``spark.checkpoint.dir`` is read from the session. Where it is unset, a single-machine session
+    (tests) gets a temporary folder, and a cluster is refused.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="quire-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the reliable checkpoint folder."""
-    shared_dir(df.sparkSession)
-    if df.sparkSession.sparkContext.getCheckpointDir() is None:
-        df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder as Parquet and read it back."""
     spark = df.sparkSession
@@ -57,6 +85,26 @@ def byte_texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def rows_of(batches: Iterable[pa.RecordBatch], columns: int, key: int) -> Iterator[np.ndarray]:
+    """Whole groups of sorted whole-number rows, as arrays; the first ``key`` columns make a group."""
+    kept: list[np.ndarray] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(columns)])
+        if kept and (kept[-1][-1, :key] != rows[0, :key]).any():
+            yield np.concatenate(kept)
+            kept = []
+        cut = np.flatnonzero((np.diff(rows[:, :key], axis=0) != 0).any(axis=1)) + 1
+        for at, to in zip([0, *cut.tolist()], [*cut.tolist(), None]):
+            if at and kept:
+                yield np.concatenate(kept)
+                kept = []
+            kept.append(rows[at:to])
+    if kept:
+        yield np.concatenate(kept)
+
+
 def chunked(items: Iterable, size: int) -> Iterator[list]:
     """Lists of at most ``size`` items."""
     it = iter(items)

@@ -1,41 +1,42 @@
 """SimHash near-duplicates, searched through tables of distances to reference fingerprints.
 
 A text's 64-bit fingerprint is the majority vote of the XXH64 values of its word
-shingles. Every fingerprint gets a *pivot table*: its Hamming distances to many
-reference fingerprints. By the triangle inequality two fingerprints within r bits
+shingles. Every fingerprint has a *pivot table*: its Hamming distances to many
+random reference fingerprints. By the triangle inequality two fingerprints within r bits
 differ by at most r in every coordinate. The table serves twice:
 
-* **candidates**: the references fall into r + 2 families, each of which differs
-  from the zero reference in one block of bits only. A pair within r bits leaves at
-  least two blocks, so the coordinates of at least two families, unchanged. One key
-  for each two families finds every such pair by an equi-join.
-* **discarding**: members of one key are compared coordinate by coordinate; a pair
-  whose largest coordinate difference exceeds r goes, and only survivors are verified.
-
-Equal fingerprints are merged before the search, keys with a single member are dropped
-by a partial aggregate, and a key with many members is cut into parts that are compared
-two at a time, so no task holds an unbounded group. Only a spanning forest of each
-comparison leaves the task, never all pairs.
+* **candidates**: each reference cuts the fingerprints at its middle distance; those within r
+  of the cut go to both sides. So two fingerprints within r bits share a side of every reference, and
+  meet in the cell that these sides make. The number of references grows with the logarithm of the number of
+  fingerprints, so cells stay as large as they are.
+* **discarding**: in a cell, pairs go whose coordinates differ by more than r for any
+  reference of the whole table; only survivors are verified bit by bit.
+
+Equal fingerprints are merged before the search. A cell with many members is cut into pieces that are compared
+two at a time, so no task holds an unbounded group. Only stars of what is connected
+leave the task, never all pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, slices, stored
-from .components import components
+from .common import byte_texts, mapped, rows_of, slices, stored
+from .components import components, joined
 
 SEED = 42
 BITS = 64
-#: Members of one key that are compared in one piece.
-PIECE = 1024
+#: Fingerprints that a cell should hold on average, and the most that are compared in one piece.
+CELL, PIECE = 1024, 4096
+#: The reference fingerprints, in the order in which they are used.
+PIVOTS = np.random.default_rng(SEED).integers(0, 2**64, 64, dtype=np.uint64)
 _STEP = 1 << 15
 
 
@@ -71,112 +72,113 @@ def fingerprints(docs: DataFrame, width: int = 3, key: str = "doc_id", text: str
             fps = [vote(shingle_hashes(raw, width)) for raw in byte_texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
-
+    return mapped(docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")), run, "doc_id bigint, fp bigint")
 
-def references(blocks: int) -> list[list[int]]:
-    """Families of reference fingerprints: zero alone, then two adjacent bits at a time of each block."""
-    edges = [BITS * b // blocks for b in range(blocks + 1)]
-    return [[0]] + [[3 << i for i in range(a, b - 1)] + [1 << a] for a, b in zip(edges, edges[1:])]
 
+def pivot_table(fps: np.ndarray) -> np.ndarray:
+    """Hamming distances [fingerprints, references]."""
+    return np.bitwise_count(fps[:, None] ^ PIVOTS[None, :]).astype(np.int8)
 
-def _signed(x: int) -> int:
-    return x - (1 << BITS) if x >> (BITS - 1) else x
 
+def sides(max_bits: int) -> tuple[int, int]:
+    """The greatest distance of the near side of a reference and the least one of its far side."""
+    return BITS // 2 - 1 + (max_bits + 1) // 2, BITS // 2 - max_bits // 2
 
-def _distance(fp: Column, reference: int) -> Column:
-    return F.bit_count(fp.bitwiseXOR(F.lit(_signed(reference))))
 
+def depth(n: int, max_bits: int) -> int:
+    """The number of references after which cells of n evenly spread fingerprints hold ``CELL`` on average."""
+    low, high = sides(max_bits)
+    near, far = (sum(comb(BITS, d) for d in span) / 2**BITS for span in (range(low + 1), range(high, BITS + 1)))
+    shrink = (near * near + far * far) / (near + far)
+    return min(len(PIVOTS) - 2, max(0, ceil(log(max(1, n / CELL)) / -log(shrink))))
 
-def family_keys(fp: Column, max_bits: int) -> Column:
-    """A key for each two families, made of their coordinates relative to the zero reference."""
-    zero, *families = references(max_bits + 2)
-    base = _distance(fp, zero[0])
-    packed = [F.xxhash64(*[_distance(fp, r) - base for r in family]) for family in families]
-    return F.array(*[F.xxhash64(F.lit(n), packed[a], packed[b]) for n, (a, b) in enumerate(combinations(range(len(families)), 2))])
 
+def cells(fps: np.ndarray, references: int, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cell) of every cell that each fingerprint lies in, by the sides of the first references."""
+    low, high = sides(max_bits)
+    rows, cell = np.arange(len(fps)), np.zeros(len(fps), np.int64)
+    for pivot in PIVOTS[:references]:
+        d = np.bitwise_count(fps ^ pivot)[rows]
+        near, far = d <= low, d >= high
+        rows, cell = np.concatenate([rows[near], rows[far]]), np.concatenate([cell[near] << 1, cell[far] << 1 | 1])
+    return rows, cell
 
-def _forest(fps: np.ndarray, max_bits: int, pivots: np.ndarray) -> list[tuple[int, int]]:
-    """Links that connect what is connected among these fingerprints within ``max_bits``."""
-    n = len(fps)
-    table = np.bitwise_count(fps[:, None] ^ pivots[None, :]).astype(np.int8)
-    parent = list(range(n))
 
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
+def dealt(classes: DataFrame, max_bits: int) -> DataFrame:
+    """``(cell, fp)``: distinct fingerprints in all their cells."""
+    references = depth(classes.count(), max_bits)
 
-    out = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2048):
+            fps = batch.column(0).to_numpy(zero_copy_only=False)
+            rows, cell = cells(fps.view(np.uint64), references, max_bits)
+            for part in slices([pa.RecordBatch.from_arrays([pa.array(cell), pa.array(fps[rows])], ["cell", "fp"])], 1 << 16):
+                yield part
+
+    return mapped(classes.select("fp"), run, "cell bigint, fp bigint")
+
+
+def stars(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(member, root) of the groups that these fingerprints make within ``max_bits``; groups of one are left out."""
+    table = pivot_table(fps)
+    order = np.argsort(table[:, 0], kind="stable")
+    fps, table = fps[order], table[order]
+    first, n = table[:, 0], len(fps)
+    root = np.arange(n)
     for at in range(0, n, 256):
-        rows = table[at : at + 256]
-        left, right = np.nonzero(np.abs(rows[:, None, 0] - table[None, :, 0]) <= max_bits)
-        keep = right > left + at
+        own = table[at : at + 256]
+        met = table[at : int(np.searchsorted(first, int(own[-1, 0]) + max_bits, "right"))]
+        near = np.abs(own[:, None, 1] - met[None, :, 1]) <= max_bits
+        for k in range(2, 6):
+            near &= np.abs(own[:, None, k] - met[None, :, k]) <= max_bits
+        left, right = np.nonzero(near)
+        keep = right > left
         left, right = left[keep], right[keep]
-        for k in range(1, table.shape[1], 4):
-            near = np.abs(rows[left, k : k + 4] - table[right, k : k + 4]).max(axis=1) <= max_bits if len(left) else np.empty(0, bool)
-            left, right = left[near], right[near]
-        near = np.bitwise_count(fps[left + at] ^ fps[right]) <= max_bits
-        for i, j in zip((left[near] + at).tolist(), right[near].tolist()):
-            a, b = root(i), root(j)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                out.append((i, j))
-    return out
+        for k in range(6, len(PIVOTS), 16):
+            keep = (np.abs(own[left, k : k + 16] - met[right, k : k + 16]) <= max_bits).all(axis=1)
+            left, right = left[keep], right[keep]
+        keep = np.bitwise_count(fps[left + at] ^ fps[right + at]) <= max_bits
+        root = joined(root, left[keep] + at, right[keep] + at)
+    low = np.flatnonzero(root != np.arange(n))
+    return fps[low], fps[root[low]]
 
 
 def _compared(max_bits: int):
-    """Bucket comparison over partitions that are sorted by (key, piece)."""
-    dense = np.random.default_rng(SEED).integers(0, 2**64, 28, dtype=np.uint64)
-    pivots = np.concatenate([np.zeros(1, np.uint64), dense])
+    """Comparison of cells over partitions that are sorted by (cell, piece)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = np.empty((0, 3), np.int64)
-
-        def links(rows: np.ndarray) -> pa.RecordBatch | None:
-            if len(rows) < 2:
-                return None
-            cut = np.flatnonzero((np.diff(rows[:, 0]) != 0) | (np.diff(rows[:, 1]) != 0)) + 1
-            starts, ends = np.r_[0, cut], np.r_[cut, len(rows)]
-            a, b = [], []
-            for s, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
-                fps = np.unique(rows[s:e, 2])
-                for i, j in _forest(fps.view(np.uint64), max_bits, pivots):
-                    a.append(int(fps[i]))
-                    b.append(int(fps[j]))
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]) if a else None
-
-        for batch in batches:
-            rows = np.concatenate([kept, np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)])])
-            if not len(rows):
-                continue
-            last = np.flatnonzero((rows[:, 0] != rows[-1, 0]) | (rows[:, 1] != rows[-1, 1]))
-            at = int(last[-1]) + 1 if len(last) else 0
-            if (out := links(rows[:at])) is not None:
-                yield out
-            kept = rows[at:]
-        if (out := links(kept)) is not None:
-            yield out
+        for rows in rows_of(batches, 3, 2):
+            fps = np.unique(rows[:, 2]).view(np.uint64)
+            if len(fps) > 1:
+                a, b = stars(fps, max_bits)
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
     return run
 
 
+def in_pieces(some: DataFrame, item: str, most: int) -> DataFrame:
+    """``some`` once for each comparison that its rows take part in, numbered by ``piece``.
+
+    Keys whose count ``n`` is beyond ``most`` are cut by a hash of ``item`` into parts of half that size, two of which meet in each comparison.
+    """
+    parts, own = F.col("parts"), F.col("own")
+    cut = some.withColumn("parts", F.when(F.col("n") > most, F.ceil(2 * F.col("n") / most)).otherwise(1).cast("bigint"))
+    cut = cut.withColumn("own", F.pmod(F.xxhash64(item, F.lit(7)), parts))
+    others = F.filter(F.sequence(F.lit(0).cast("bigint"), parts - 1), lambda i: i != own)
+    numbers = F.when(parts == 1, F.array(F.lit(0).cast("bigint"))).otherwise(F.transform(others, lambda i: F.least(i, own) * parts + F.greatest(i, own)))
+    return cut.withColumn("piece", F.explode(numbers)).drop("parts", "own")
+
+
 def links(keyed: DataFrame, max_bits: int) -> DataFrame:
-    """Links ``(a, b)`` of fingerprints within ``max_bits``, among those that share a key.
+    """Links ``(a, b)`` that connect the fingerprints within ``max_bits`` of each other among those that share a cell.
 
-    ``keyed`` has distinct rows ``(key, fp)``. What is connected stays connected;
-    pairs that add no connection inside one comparison are left out.
+    ``keyed`` has distinct rows ``(cell, fp)``. What is connected stays connected; links are those of stars, whose ends
+    may lie further apart. Only cells with more than ``PIECE`` members are met with their count.
     """
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    some = keyed.join(sizes, "key").withColumn("pieces", F.ceil(F.col("n") / PIECE).cast("int"))
-    own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("pieces")).cast("int")
-    others = F.filter(F.sequence(F.lit(0), F.col("pieces") - 1), lambda i: i != F.col("own"))
-    piece = F.when(F.col("pieces") == 1, F.array(F.lit(0).cast("bigint"))).otherwise(
-        F.transform(others, lambda i: F.least(i, F.col("own")).cast("bigint") * F.col("pieces") + F.greatest(i, F.col("own")))
-    )
-    dealt = some.withColumn("own", own).select("key", F.explode(piece).alias("piece"), "fp")
-    return dealt.repartition(F.col("key"), F.col("piece")).sortWithinPartitions("key", "piece").mapInArrow(_compared(max_bits), "a bigint, b bigint")
+    tasks = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    large = keyed.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > PIECE)
+    pieces = in_pieces(keyed.join(large, "cell", "left"), "fp", PIECE).select("cell", "piece", "fp")
+    return mapped(pieces.repartition(tasks, "cell", "piece").sortWithinPartitions("cell", "piece"), _compared(max_bits), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -189,9 +191,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 2, key: str
     ``docs`` besides the two named play no part. An empty table gives an empty table.
     """
     prints = stored(fingerprints(docs, width, key, text), "fp")
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    keyed = classes.select(F.explode(family_keys(F.col("fp"), max_bits)).alias("key"), "fp")
-    roots = components(links(keyed, max_bits)).withColumnRenamed("node", "fp")
+    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    roots = components(links(dealt(classes, max_bits), max_bits)).withColumnRenamed("node", "fp")
     led = classes.join(roots, "fp")
     leaders = led.groupBy("root").agg(F.min("first").alias("leader"))
     named = led.join(leaders, "root").select("fp", "leader")

@@ -77,22 +77,39 @@ def test_links_of_a_large_bucket(spark):
     rng = np.random.default_rng(2)
     base = rng.integers(-(2**62), 2**62)
     fps = sorted({int(base) ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 60, (2500, 2))})
-    keyed = spark.createDataFrame([(1, f) for f in fps], "key bigint, fp bigint")
+    keyed = spark.createDataFrame([(1, f) for f in fps], "cell bigint, fp bigint")
     found = components.components(simhash.links(keyed, 2)).collect()
     assert {r.node for r in found} == set(fps) and len({r.root for r in found}) == 1
 
-
-def test_family_keys_find_every_near_pair(spark):
+def test_cells_and_stars_equal_brute_force(spark, monkeypatch):
+    """Random and planted fingerprints, with cells so small that several references cut and pieces are made."""
     rng = np.random.default_rng(4)
-    pairs = []
-    for _ in range(200):
-        f = int(rng.integers(-(2**62), 2**62))
-        a, b = rng.choice(63, 2, replace=False)
-        pairs.append((f, f ^ (1 << int(a)) ^ (1 << int(b))))
-    from pyspark.sql import functions as F
-
-    frame = spark.createDataFrame(pairs, "a bigint, b bigint")
-    assert frame.filter(~F.arrays_overlap(simhash.family_keys(F.col("a"), 2), simhash.family_keys(F.col("b"), 2))).count() == 0
+    near = rng.integers(-(2**63), 2**63 - 1, 500)
+    near = np.concatenate([near ^ (np.int64(1) << a) ^ (np.int64(1) << b) for a, b in rng.integers(0, 63, (4, 2))])
+    chain = [int(near[0])]
+    for bit in range(60):
+        chain.append(chain[-1] ^ (1 << bit))
+    fps = np.unique(np.concatenate([rng.integers(-(2**63), 2**63 - 1, 3000), near, np.array(chain), [0, -1, 1, 3]]))
+    bits = np.bitwise_count(fps.view(np.uint64)[:, None] ^ fps.view(np.uint64)[None, :])
+    for most in (0, 1, 2, 3):
+        left, right = np.nonzero(np.triu(bits <= most, 1))
+        want = components.joined(np.arange(len(fps)), left, right)
+        monkeypatch.setattr(simhash, "CELL", 16)
+        monkeypatch.setattr(simhash, "PIECE", 64)
+        classes = spark.createDataFrame([(int(f),) for f in fps], "fp bigint")
+        found = {r.node: r.root for r in components.components(simhash.links(simhash.dealt(classes, most), most)).collect()}
+        assert [found.get(int(f), int(f)) for f in fps] == fps[want].tolist()
+
+
+def test_pairs_within_reach_share_a_cell():
+    rng = np.random.default_rng(6)
+    a = rng.integers(0, 2**64 - 1, 300, dtype=np.uint64)
+    for most in (1, 2, 5):
+        b = a.copy()
+        for _ in range(most):
+            b ^= np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)
+        own, other = ({(r, c) for r, c in zip(*(x.tolist() for x in simhash.cells(x, 12, most)))} for x in (a, b))
+        assert {r for r, _ in own & other} == set(range(300))
 
 
 def test_one_of_each(docs, empty, spark):
