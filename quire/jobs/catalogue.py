@@ -11,6 +11,7 @@ from quire.operators import datasets as D
 from quire.operators import documents as DOC
 from quire.operators import metrics as M
 from quire.operators import spans as S
+from quire.sources import files
 from quire.sources import fixtures as X
 
 IOUS = [0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]
@@ -72,7 +73,26 @@ def j12(spark, d):
 
 @query("a5_mean_precision", _PAIRS + _g(IOUS) + _IOU + _SUM + " SELECT max(precision) FILTER (iou_thr = 0.5) AS map50, max(precision) FILTER (iou_thr = 0.75) AS map75, round(avg(precision), 9) AS map FROM scored")
 def a5(spark, d):
-    return M.mean_precision(M.dataset_scores(M.page_counts(*maps(spark, d), IOUS, "iou"))).withColumn("map", F.round("map", 9))
+    return M.mean_precision(M.dataset_scores(M.page_counts(*maps(spark, d), IOUS, "iou"))).drop("curve").withColumn("map", F.round("map", 9))
+
+
+@query("a5_precision_curve", _PAIRS + _g(IOUS) + _IOU + _SUM + " SELECT CAST(row_number() OVER (ORDER BY iou_thr) - 1 AS INT) AS step, recall, precision FROM scored")
+def a5_curve(spark, d):
+    scores = M.dataset_scores(M.page_counts(*maps(spark, d), IOUS, "iou"))
+    return M.mean_precision(scores).select(F.posexplode("curve").alias("step", "x")).select("step", "x.recall", "x.precision")
+
+
+_BEST = _IOU.replace("max(gt_label) AS claim", "arg_min(gt_label, (-iou, gt_label)) AS claim")
+
+
+@query("m2_best_claims", _PAIRS + _g([0.3]) + _BEST + _SUM + " SELECT * FROM scored")
+def m2_best(spark, d):
+    return M.dataset_scores(M.page_counts(*maps(spark, d), [0.3], "iou", claim="best"))
+
+
+@query("p12_one_label", f"WITH {X.SQL} SELECT page_id, unnest(range(t, b + 1)) AS y, l AS x0, r AS x1 FROM pred WHERE label = 2")
+def p12(spark, d):
+    return S.of_labels(maps(spark, d)[0], F.col("label") == 2)
 
 
 @query("j1_pair_metrics", _PAIRS + " SELECT * FROM pairs")
@@ -159,27 +179,67 @@ def p14(spark, d):
 _DET = f"WITH {X.SQL}, det AS (SELECT l_orderkey AS page_id, n AS det_id, 1 - l_discount * 4 AS score, 0.3 + l_tax * 8 AS base, CAST(20 + l_suppkey%30 AS int) AS l, CAST(170 + l_suppkey%30 + l_partkey%200 AS int) AS r, CAST(30*n AS int) AS t, CAST(30*n + 12 + q%10 AS int) AS b FROM numbered)"
 
 
+def detections(spark, d) -> DataFrame:
+    """Runs of scored masks, one for each line."""
+    rows = X.numbered(spark, d).selectExpr("l_orderkey AS page_id", "n AS det_id", "1 - l_discount * 4 AS score", "0.3 + l_tax * 8 AS base", "int(20 + l_suppkey % 30) AS l", "int(170 + l_suppkey % 30 + l_partkey % 200) AS r", "int(30 * n) AS t", "int(30 * n + 12 + q % 10) AS b")
+    return rows.select("page_id", "det_id", "score", F.explode(F.sequence("t", "b")).alias("y"), F.col("l").alias("x0"), F.col("r").alias("x1"), "base").withColumn("mask_score", F.col("base") + F.col("y") % 5 * 0.02).drop("base")
+
+
 @query("p8_detection_sweep", _DET + ", px AS (SELECT *, unnest(range(t, b + 1)) AS y FROM det), g AS (SELECT bt, mt FROM (VALUES (0.701), (0.851)) a(bt), (VALUES (0.451), (0.651)) c(mt)), k AS (SELECT bt, mt, page_id, det_id, sum(r - l + 1) AS area FROM px, g WHERE score >= bt AND base + y % 5 * 0.02 >= mt GROUP BY ALL HAVING sum(r - l + 1) >= 100) SELECT CAST(bt AS DOUBLE) AS box_thr, CAST(mt AS DOUBLE) AS mask_thr, count(*) AS masks, CAST(sum(area) AS BIGINT) AS pixels FROM k GROUP BY ALL")
 def p8(spark, d):
-    rows = X.numbered(spark, d).selectExpr("l_orderkey AS page_id", "n AS det_id", "1 - l_discount * 4 AS score", "0.3 + l_tax * 8 AS base", "int(20 + l_suppkey % 30) AS l", "int(170 + l_suppkey % 30 + l_partkey % 200) AS r", "int(30 * n) AS t", "int(30 * n + 12 + q % 10) AS b")
-    runs = rows.select("page_id", "det_id", "score", F.explode(F.sequence("t", "b")).alias("y"), F.col("l").alias("x0"), F.col("r").alias("x1"), "base").withColumn("mask_score", F.col("base") + F.col("y") % 5 * 0.02)
-    grid = spark.createDataFrame([(b, m) for b in (0.701, 0.851) for m in (0.451, 0.651)], "box_thr double, mask_thr double")
-    kept = runs.crossJoin(F.broadcast(grid)).filter("score >= box_thr AND mask_score >= mask_thr")
-    masks = kept.groupBy("box_thr", "mask_thr", "page_id", "det_id").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("area")).filter("area >= 100")
-    return masks.groupBy("box_thr", "mask_thr").agg(F.count("*").alias("masks"), F.sum("area").alias("pixels"))
+    boxes = [0.701, 0.851]
+    masks = M.kept_masks(detections(spark, d), boxes, [0.451, 0.651])
+    counts = masks.groupBy("level", "mask_thr").agg(F.count("*").alias("n"), F.sum("area").alias("area"))
+    grid = spark.createDataFrame([(k + 1, b) for k, b in enumerate(boxes)], "b int, box_thr double")
+    return counts.join(F.broadcast(grid), F.col("level") >= F.col("b")).groupBy("box_thr", "mask_thr").agg(F.sum("n").alias("masks"), F.sum("area").alias("pixels"))
 
 
-@query("h3_components", f"WITH {X.SQL}, sep AS (SELECT page_id, label FROM gt) SELECT page_id, label FROM sep")
+#: Ten box thresholds and nine mask thresholds, away from the scores of the fixture.
+BOX_THRS, MASK_THRS = [round(0.501 + 0.05 * k, 3) for k in range(10)], [round(0.311 + 0.05 * k, 3) for k in range(9)]
+
+
+def _values(name: str, values: list[float]) -> str:
+    return "(VALUES " + ", ".join(f"(CAST({v} AS DOUBLE))" for v in values) + f") v_{name}({name})"
+
+
+_SWEEP = f"""{_DET}, mts AS (SELECT mask_thr FROM {_values("mask_thr", MASK_THRS)}), grid AS (SELECT box_thr, iou_thr FROM {_values("box_thr", BOX_THRS)}, {_values("iou_thr", IOUS)}),
+px AS (SELECT page_id, det_id, score, l AS p0, r AS p1, y, mask_thr FROM (SELECT *, unnest(range(t, b + 1)) AS y FROM det) e, mts WHERE base + y % 5 * 0.02 >= mask_thr),
+mk AS (SELECT page_id, det_id, score, mask_thr, sum(p1 - p0 + 1) AS a FROM px GROUP BY ALL HAVING sum(p1 - p0 + 1) >= 100),
+gpx AS (SELECT page_id, label, l AS g0, r AS g1, (r - l + 1) * (b - t + 1) AS b, unnest(range(t, b + 1)) AS y FROM gt),
+it AS (SELECT page_id, det_id, mask_thr, label, b, sum(least(p1, g1) - greatest(p0, g0) + 1) AS i FROM px JOIN gpx USING (page_id, y) WHERE p0 <= g1 AND g0 <= p1 GROUP BY ALL),
+pr AS (SELECT page_id, det_id, mask_thr, label, score, i / a AS p, i / b AS r, i / (a + b - i) AS iou FROM it JOIN mk USING (page_id, det_id, mask_thr)),
+bs AS (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY page_id, det_id, mask_thr ORDER BY iou DESC, label) = 1),
+hit AS (SELECT page_id, box_thr, mask_thr, iou_thr, count(*) FILTER (p >= iou_thr AND r >= iou_thr) AS tp, count(*) FILTER (p < iou_thr) AS bp, count(*) FILTER (r < iou_thr) AS br, count(*) AS met FROM bs, grid WHERE score >= box_thr GROUP BY ALL),
+tch AS (SELECT page_id, box_thr, mask_thr, count(DISTINCT label) AS gm FROM pr, (SELECT DISTINCT box_thr FROM grid) WHERE score >= box_thr GROUP BY ALL),
+np AS (SELECT page_id, box_thr, mask_thr, count(*) AS n_pred FROM mk, (SELECT DISTINCT box_thr FROM grid) WHERE score >= box_thr GROUP BY ALL),
+ng AS (SELECT page_id, count(*) AS n_gt FROM gt GROUP BY 1),
+pages AS (SELECT page_id, box_thr, mask_thr, iou_thr, coalesce(tp, 0) AS tp, n_pred - coalesce(met, 0) + coalesce(bp, 0) AS fp, n_gt - coalesce(gm, 0) + coalesce(br, 0) AS fn
+  FROM np JOIN ng USING (page_id) JOIN grid USING (box_thr) LEFT JOIN hit USING (page_id, box_thr, mask_thr, iou_thr) LEFT JOIN tch USING (page_id, box_thr, mask_thr)),
+sums AS (SELECT box_thr, mask_thr, iou_thr, count(*) AS pages, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM pages WHERE tp + fp > 0 AND tp + fn > 0 GROUP BY ALL)
+SELECT *, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, tp / (tp + fp + fn) AS jaccard, 2 * tp / (2 * tp + fp + fn) AS f1 FROM sums"""
+
+
+@query("j12_full_sweep", _SWEEP)
+def j12_full(spark, d):
+    """Ten box, nine mask and ten IoU thresholds over all detections, 900 scores from one pixel join."""
+    return M.full_sweep(detections(spark, d), maps(spark, d)[1], BOX_THRS, MASK_THRS, IOUS)
+
+
+@query("h3_components", f"WITH {X.SQL} SELECT page_id, label, y, CASE WHEN y % 2 = 0 THEN l ELSE l + (r - l) // 2 + 1 END AS x0, CASE WHEN y % 2 = 0 THEN l + (r - l) // 2 ELSE r END AS x1 FROM (SELECT *, unnest(range(t, b + 1)) AS y FROM gt)")
 def h3(spark, d):
-    gt = maps(spark, d)[1]
-    return raster.components(gt.select("page_id", "y", "x0", "x1")).select("page_id", "label").distinct()
+    """Lines whose even rows hold the left half and odd rows the right half, so that they hang together at corners only."""
+    gt, middle = maps(spark, d)[1], F.floor((F.col("x1") - F.col("x0")) / 2).cast("int") + F.col("x0")
+    even = F.col("y") % 2 == 0
+    halves = gt.select("page_id", "y", F.when(even, F.col("x0")).otherwise(middle + 1).alias("x0"), F.when(even, middle).otherwise(F.col("x1")).alias("x1"))
+    return raster.components(halves)
 
 
-@query("h1_polygon_raster", f"WITH {X.SQL} SELECT page_id, label, CAST((r - l + 1) * (b - t + 1) AS BIGINT) AS area FROM gt")
+@query("h1_polygon_raster", f"WITH {X.SQL} SELECT page_id, label, y, l AS x0, l + (r - l) * (b - y) // (b - t) AS x1 FROM (SELECT *, unnest(range(t, b + 1)) AS y FROM gt)")
 def h1(spark, d):
+    """Triangles under the diagonal of each line's box."""
     boxes = X.gt_boxes(X.numbered(spark, d))
-    lines = boxes.select("page_id", "label", G.rectangle(*[F.col(c) for c in "ltrb"]).alias("coords"), F.lit(800).alias("width"), (F.col("b") + 30).alias("height"))
-    return S.areas(raster.polygons(lines))
+    corners = F.array(G.point(F.col("l"), F.col("t")), G.point(F.col("r"), F.col("t")), G.point(F.col("l"), F.col("b")))
+    return raster.polygons(boxes.select("page_id", "label", corners.alias("coords"), F.lit(800).alias("width"), (F.col("b") + 30).alias("height")))
 
 
 def line_rows(spark, d) -> DataFrame:
@@ -339,22 +399,20 @@ def p16(spark, d):
     return D.estimate_errors(gt.join(pred, "page_id", "left").fillna(0, ["pred"]))
 
 
+def layout_docs(spark, d) -> DataFrame:
+    """Layout documents, boxes in parallel arrays; every tenth page's model does not know seals."""
+    names = [F.array(*[F.lit(x) for x in ("Wr:OldText", "Wr:NewText", "Img:Seal")[:k]]) for k in (2, 3)]
+    own = F.array_sort(F.collect_list(F.struct("line_idx", (F.col("pk") % 3).cast("int").alias("c"), F.array("l", "t", "r", "b").alias("box"))))
+    docs = line_rows(spark, d).groupBy("page_id").agg(own.alias("x"))
+    return docs.select("page_id", F.when(F.col("page_id") % 10 == 0, names[0]).otherwise(names[1]).alias("class_names"), F.col("x.c").alias("rect_classes"), F.col("x.box").alias("rect_LTRB"))
 
 
-@query("p6_layout_boxes", _LINES + " SELECT page_id, line_idx AS rect_idx, CASE pk % 3 WHEN 0 THEN 'Wr:OldText' ELSE 'Wr:NewText' END AS class_name, l, t, r, b FROM lines WHERE pk % 3 < 2")
+@query("p6_layout_boxes", _LINES + " SELECT page_id, CAST(line_idx - 1 AS INT) AS rect_idx, CASE pk % 3 WHEN 0 THEN 'Wr:OldText' ELSE 'Wr:NewText' END AS class_name, l, t, r, b FROM lines WHERE pk % 3 < 2")
 def p6(spark, d):
-    return layout_rows(spark, d).filter(F.col("class_name").isin("Wr:OldText", "Wr:NewText")).select("page_id", "rect_idx", "class_name", "l", "t", "r", "b")
-
-
-def layout_rows(spark, d) -> DataFrame:
-    """Layout documents (parallel arrays) taken apart to box rows."""
-    names = F.array(*[F.lit(x) for x in ("Wr:OldText", "Wr:NewText", "Img:Seal")])
-    own = F.array_sort(F.collect_list(F.struct("line_idx", (F.col("pk") % 3).cast("int").alias("c"), F.array("l", "t", "r", "b").alias("box"))))
-    docs = line_rows(spark, d).groupBy("page_id").agg(own.alias("x")).select("page_id", names.alias("class_names"), F.col("x.c").alias("rect_classes"), F.col("x.box").alias("rect_LTRB"))
-    rows = docs.select("page_id", "class_names", F.posexplode(F.arrays_zip("rect_classes", "rect_LTRB")).alias("i", "z"))
-    return rows.select("page_id", (F.col("i") + 1).alias("rect_idx"), F.element_at("class_names", F.col("z.rect_classes") + 1).alias("class_name"), *[F.get("z.rect_LTRB", F.lit(k)).alias(c) for k, c in enumerate("ltrb")])
+    return files.layout_boxes(layout_docs(spark, d)).filter(F.col("class_name").isin("Wr:OldText", "Wr:NewText"))
 
 
-@query("p7_layout_flags", _LINES + " SELECT page_id, bool_or(pk % 3 = 2) AS seal, bool_or(pk % 3 = 0) AS old_text FROM lines GROUP BY page_id")
+@query("p7_layout_flags", _LINES + " SELECT page_id, CASE WHEN page_id % 10 <> 0 THEN bool_or(pk % 3 = 2) END AS seal, CASE WHEN page_id % 10 <> 0 THEN bool_or(pk % 3 = 0) END AS old_text FROM lines GROUP BY page_id")
 def p7(spark, d):
-    return layout_rows(spark, d).groupBy("page_id").agg(F.max(F.col("class_name") == "Img:Seal").alias("seal"), F.max(F.col("class_name") == "Wr:OldText").alias("old_text"))
+    found = files.layout_flags(layout_docs(spark, d), ["Img:Seal", "Wr:OldText"])
+    return found.select("page_id", F.col("found")[0].alias("seal"), F.col("found")[1].alias("old_text"))

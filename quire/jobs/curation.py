@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 
 from quire.functions import geometry as G
@@ -101,10 +104,10 @@ def j8(spark, d):
     return D.work_list(listed.filter("page_id % 11 = 0"), listed, marked)
 
 
-@query("j11_line_counts", f"WITH {X.SQL}, c AS (SELECT page_id, count(*) AS n FROM gt GROUP BY 1), p AS (SELECT page_id, count(*) AS n FROM pred GROUP BY 1) SELECT c.page_id, CASE WHEN c.page_id % 3 < 2 THEN c.n + CASE WHEN c.page_id % 3 = 1 THEN 1 ELSE 0 END ELSE -1 END AS gt, CASE WHEN c.page_id % 7 > 0 THEN c.n + 3 ELSE -1 END AS est, coalesce(p.n, -1) AS pred FROM c LEFT JOIN p USING (page_id)")
+@query("j11_line_counts", _LINES + ", big AS (SELECT page_id, l, t, r, b FROM regions QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY (r - l) * (b - t) DESC, region_idx) = 1), c AS (SELECT page_id, count(*) AS n FROM gt GROUP BY 1), p AS (SELECT page_id, count(*) AS n FROM pred GROUP BY 1) SELECT c.page_id, CASE WHEN c.page_id % 3 < 2 THEN c.n + CASE WHEN c.page_id % 3 = 1 THEN 1 ELSE 0 END ELSE -1 END AS gt, CASE WHEN c.page_id % 7 > 0 THEN c.n + 3 ELSE -1 END AS est, coalesce(p.n, -1) AS pred, l, t, r, b FROM c LEFT JOIN p USING (page_id) LEFT JOIN big USING (page_id)")
 def j11(spark, d):
     gt, pred = (b.groupBy("page_id").agg(F.count("*").alias("n")) for b in (X.gt_boxes(X.numbered(spark, d)), X.pred_boxes(X.numbered(spark, d))))
-    return D.count_rows(gt, gt.filter("page_id % 3 = 0"), gt.filter("page_id % 3 = 1").withColumn("n", F.col("n") + 1), gt.filter("page_id % 7 > 0").withColumn("n", F.col("n") + 3), pred)
+    return D.count_rows(gt, gt.filter("page_id % 3 = 0"), gt.filter("page_id % 3 = 1").withColumn("n", F.col("n") + 1), gt.filter("page_id % 7 > 0").withColumn("n", F.col("n") + 3), pred, DOC.biggest_region(region_rows(line_rows(spark, d))))
 
 
 @query("u3_unsampled_files", "WITH s AS (SELECT page_id FROM pages ORDER BY md5('46' || url), url LIMIT 20) SELECT page_id, url FROM pages WHERE page_id NOT IN (SELECT page_id FROM s)")
@@ -134,3 +137,63 @@ def g7(spark, d):
     center = F.array(G.point(F.col("l"), F.col("cy")), G.point(F.col("r"), F.col("cy")))
     own = lines.select("page_id", "line_idx", F.get(G.shifted(center, F.lit(0), F.col("x_height") / 2), F.lit(0)).alias("p"))
     return own.select("page_id", "line_idx", F.col("p.x").cast("int").alias("x"), F.col("p.y").alias("y"))
+
+
+def written(spark, name: str) -> str:
+    """A new path in the folder that the cluster shares; a temporary folder only where none is set, as in tests."""
+    home = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="quire-files-")
+    return f"{home.rstrip('/')}/quire-{name}-{uuid.uuid4().hex}"
+
+
+@query("s1_document_files", _LINES + """, o AS (SELECT *, page_id % 3 AS gen FROM lines)
+SELECT 'p' || page_id || '.jpg' AS image_filename, 800 AS image_width, CAST(page_id % 1000 + 100 AS INT) AS image_height, line_idx, CASE gen WHEN 2 THEN '' ELSE 'r' END || region_idx AS region_id, CASE gen WHEN 2 THEN '' ELSE 'l' END || line_idx AS id, b - t AS x_height,
+  CASE WHEN gen = 2 THEN NULL WHEN sk % 5 = 0 THEN ' ' ELSE 'line ' || line_idx END AS text, CAST(l AS DOUBLE) AS first_x, CASE WHEN gen = 2 THEN NULL ELSE 4 END AS n_baseline, CASE WHEN gen = 2 THEN 4 END AS n_centerline FROM o""")
+def s1(spark, d):
+    """Documents of three generations, written as text and read back: nested regions, lines that name their region, and the old names."""
+    lines = line_rows(spark, d)
+    regions, gen = region_rows(lines), F.col("page_id") % 3
+    size = [F.lit(800).alias("image_width"), (F.col("page_id") % 1000 + 100).cast("int").alias("image_height")]
+    file = F.concat(F.lit("p"), F.col("page_id"), F.lit(".jpg"))
+    nested = files.plain(DOC.nested(regions.filter(gen == 0), lines.filter(gen == 0)).select("page_id", file.alias("image_filename"), *size, F.lit("x").alias("creator"), "regions"))
+    pairs = lambda c: F.transform(c, lambda p: F.array(p["x"], p["y"]))
+    flat = F.struct("line_idx", "id", pairs("coords").alias("coords"), pairs("baseline").alias("baseline"), F.col("x_height").alias("x-height"), "text", F.col("region_id").alias("region"))
+    named = lines.filter(gen == 1).groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(flat)), lambda x: x.dropFields("line_idx")).alias("lines"))
+    named = named.select(file.alias("image_filename"), *size, "lines")
+    line = F.struct("line_idx", F.col("line_idx").alias("id"), pairs("coords").alias("boundary"), F.col("x_height").alias("stroke_width"), pairs("baseline").alias("centerline"))
+    old = lines.filter(gen == 2).groupBy("page_id", "region_idx").agg(F.transform(F.array_sort(F.collect_list(line)), lambda x: x.dropFields("line_idx")).alias("lines"))
+    old = old.join(regions.select("page_id", "region_idx", pairs("coords").alias("boundary")), ["page_id", "region_idx"])
+    old = old.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct(F.col("region_idx").alias("id"), F.lit("text_region").alias("type"), "boundary", "lines"))).alias("regions"))
+    old = old.select(file.alias("imagename"), F.array(*size).alias("image_wh"), "regions")
+    text = lambda frame: frame.select(F.to_json(F.struct("*")).alias("value"))
+    path = written(spark, "documents")
+    text(nested).unionByName(text(named)).unionByName(text(old)).write.text(path)
+    read = files.read_json(spark, path, lines=True).withColumn("page_id", F.col("image_filename"))
+    found = DOC.flat_lines(read).join(read.select("page_id", "image_width", "image_height"), "page_id")
+    return found.select(F.col("page_id").alias("image_filename"), "image_width", "image_height", "line_idx", "region_id", "id", "x_height", "text", F.col("coords")[0]["x"].alias("first_x"), F.array_size("baseline").alias("n_baseline"), F.array_size("centerline").alias("n_centerline"))
+
+
+def _xml(spark, d):
+    """Pages as PageXML whose regions are 20 pixels too narrow, written and read back."""
+    lines = line_rows(spark, d)
+    small = region_rows(lines).withColumn("coords", G.rectangle(F.col("l") + 20, F.col("t"), F.col("r") - 20, F.col("b")))
+    pages = lines.select("page_id").distinct().select("page_id", F.lit(800).alias("width"), F.lit(2000).alias("height"), F.lit("x").alias("creator"), F.lit("a & b").alias("comments"))
+    path = written(spark, "pages")
+    files.write_xml(files.xml_pages(small, lines, pages), path, per_page=False)
+    return files.read_xml(spark, path, lines=True).withColumn("page_id", F.col("image_filename").cast("bigint"))
+
+
+@query("s2_xml_lines", _LINES + " SELECT page_id, 'r' || region_idx AS region_id, 'l' || line_idx AS id, 'line ' || line_idx AS text, CAST(l AS DOUBLE) AS first_x, CAST(b AS DOUBLE) AS first_y, 'a & b' AS comments FROM lines WHERE sk % 5 <> 0")
+def s2(spark, d):
+    pages = _xml(spark, d)
+    found = files.xml_lines(pages, with_text=True).join(pages.select("page_id", "comments"), "page_id")
+    return found.select("page_id", F.element_at("region_path", -1).alias("region_id"), "id", "text", F.col("coords")[0]["x"].alias("first_x"), F.col("baseline")[0]["y"].alias("first_y"), "comments")
+
+
+@query("s4_xml_regions", _LINES + """, s AS (SELECT page_id, region_idx, l + 20 AS l, t, r - 20 AS r, b FROM regions), o AS (SELECT a.page_id, a.region_idx, min(a.l) AS l2, min(a.t) AS t2, max(a.r) AS r2, max(a.b) AS b2, count(*) AS n FROM lines a JOIN s USING (page_id, region_idx) WHERE a.l < s.l OR a.t < s.t OR a.r > s.r OR a.b > s.b GROUP BY ALL)
+SELECT page_id, 'r' || region_idx AS region_id, CAST(least(l, l2) AS DOUBLE) AS l, CAST(least(t, t2) AS DOUBLE) AS t, CAST(greatest(r, r2) AS DOUBLE) AS r, CAST(greatest(b, b2) AS DOUBLE) AS b, coalesce(n, 0) AS n_outside FROM s LEFT JOIN o USING (page_id, region_idx)""")
+def s4(spark, d):
+    pages = _xml(spark, d)
+    regions, lines = files.xml_regions(pages), files.xml_lines(pages)
+    outside = files.xml_violations(regions, lines).groupBy("page_id", "region_id").agg(F.count("*").alias("n"))
+    met = files.xml_boxes(regions, lines).join(outside, ["page_id", "region_id"], "left")
+    return met.select("page_id", "region_id", *"ltrb", F.coalesce("n", F.lit(0)).alias("n_outside"))

@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def split(items: DataFrame, key: str, seed: str = "46", reserved: float = 0.2, buckets: int = 256) -> DataFrame:
+def split(items: DataFrame, key: str, seed: str = "46", reserved: float = 0.2, digits: int = 2, limit: int = 0) -> DataFrame:
     """``subset`` train, val or test of exact sizes, by the order of md5(seed + key); equal keys tie by value.
 
-    Test takes the last share of all, validation that of the rest. Ranks come from counts of
+    Test takes the last share of all, validation that of the rest; ``limit`` keeps that many training items at most. Buckets are the first
+    ``digits`` hex digits of the hash: 256 with two, 4096 with three. Ranks come from counts of
     hash buckets and windows inside them, so no single task ranks all.
     """
     own = items.withColumn("h", F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))))
-    own = own.withColumn("bucket", F.substring("h", 1, 2))
+    own = own.withColumn("bucket", F.substring("h", 1, digits))
     sizes = own.groupBy("bucket").agg(F.count("*").alias("n"))
     upto = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
@@ -22,7 +23,8 @@ def split(items: DataFrame, key: str, seed: str = "46", reserved: float = 0.2, b
     rest = F.floor(F.col("total") * (1 - reserved))
     train = F.floor(rest * (1 - reserved))
     subset = F.when(F.col("rank") <= train, "train").when(F.col("rank") <= rest, "val").otherwise("test")
-    return ranked.withColumn("subset", subset).select(*items.columns, "subset")
+    kept = ranked.filter((F.col("rank") <= limit) | (F.col("rank") > train)) if limit else ranked
+    return kept.withColumn("subset", subset).select(*items.columns, "subset")
 
 
 def first_items(items: DataFrame, key: str, n: int, seed: str | None = None) -> DataFrame:
@@ -80,15 +82,17 @@ def work_list(given: DataFrame, listed: DataFrame, marked: DataFrame, layout: st
     return own.select(F.col("path").alias("image"), F.concat(stem, F.lit(layout)).alias("layout_path"), F.concat(stem, F.lit(output)).alias("output_path")).orderBy("image")
 
 
-def count_rows(pages: DataFrame, gt: DataFrame, earlier: DataFrame, estimates: DataFrame, predictions: DataFrame) -> DataFrame:
+def count_rows(pages: DataFrame, gt: DataFrame, earlier: DataFrame, estimates: DataFrame, predictions: DataFrame, boxes: DataFrame | None = None) -> DataFrame:
     """Line counts side by side: true ones (else those of an earlier annotation, else -1), estimated and predicted.
 
-    Each table has ``page_id`` and ``n``.
+    Each table has ``page_id`` and ``n``; ``boxes`` (page_id, l, t, r, b) adds the box of each page's biggest region.
     """
     out = pages.select("page_id")
     for name, t in (("gt", gt), ("earlier", earlier), ("est", estimates), ("pred", predictions)):
         out = out.join(t.select("page_id", F.col("n").alias(name)), "page_id", "left")
-    return out.select("page_id", F.coalesce("gt", "earlier", F.lit(-1)).alias("gt"), F.coalesce("est", F.lit(-1)).alias("est"), F.coalesce("pred", F.lit(-1)).alias("pred"))
+    if boxes:
+        out = out.join(boxes.select("page_id", *"ltrb"), "page_id", "left")
+    return out.select("page_id", F.coalesce("gt", "earlier", F.lit(-1)).alias("gt"), F.coalesce("est", F.lit(-1)).alias("est"), F.coalesce("pred", F.lit(-1)).alias("pred"), *"ltrb"[: 4 * bool(boxes)])
 
 
 def remainder(items: DataFrame, sample: DataFrame, key: str) -> DataFrame:

@@ -27,9 +27,11 @@ def bottom(points: Column) -> Column:
 
 
 def flat_lines(pages: DataFrame) -> DataFrame:
-    """Line rows of documents with top-level ``lines`` or, where these are null, ``regions[].lines``."""
+    """Line rows of documents with top-level ``lines`` or, where these are null, ``regions[].lines``; the innermost region's id."""
     inner = F.flatten(F.transform("regions", lambda r: F.transform(r["lines"], lambda x: F.struct(r["id"].alias("region_id"), x.alias("line")))))
-    own = F.transform("lines", lambda x: F.struct(F.lit(None).cast("string").alias("region_id"), x.alias("line")))
+    linked = "region_path" in pages.schema["lines"].dataType.elementType.names
+    region = lambda x: F.element_at(x["region_path"], -1) if linked else F.lit(None).cast("string")
+    own = F.transform("lines", lambda x: F.struct(region(x).alias("region_id"), x.alias("line")))
     rows = pages.select("page_id", F.posexplode(F.when(F.col("lines").isNotNull(), own).otherwise(inner)).alias("line_idx", "x"))
     return rows.select("page_id", (F.col("line_idx") + 1).alias("line_idx"), "x.region_id", "x.line.*")
 
@@ -128,6 +130,16 @@ def stripped(pages: DataFrame, fields: list[str], comment: str | None = None) ->
     return out if comment is None else out.withColumn("comment", F.lit(comment))
 
 
+def stamped(pages: DataFrame, creator: str, created: str | None = None, comments: str | None = None, line_height_factor: float | None = None) -> DataFrame:
+    """Documents with new metadata: who made them and when (now, if not told); comments and factor where given."""
+    new = {"creator": F.lit(creator), "created": F.lit(created) if created else F.current_timestamp().cast("string")}
+    if comments is not None:
+        new["comments"] = F.lit(comments)
+    if line_height_factor not in (None, 1.0):
+        new["line_height_factor"] = F.lit(line_height_factor)
+    return pages.withColumns(new)
+
+
 def rescaled(lines: DataFrame, factor: float, polygon: str = "coords") -> DataFrame:
     """Lines whose polygon is a strip around the baseline, ``factor`` times the x-height high.
 

@@ -42,12 +42,12 @@ def _grid(spark, thresholds: list[float]) -> DataFrame:
     return spark.createDataFrame([(float(t),) for t in thresholds], "iou_thr double")
 
 
-def page_counts(pred: DataFrame, gt: DataFrame, thresholds: list[float], method: str = "icdar", label_distance: int = 0) -> DataFrame:
+def page_counts(pred: DataFrame, gt: DataFrame, thresholds: list[float], method: str = "icdar", label_distance: int = 0, claim: str = "last") -> DataFrame:
     """(page_id, iou_thr, tp, fp, fn) of every page with predictions.
 
     ``icdar``: a predicted label's best match is right if precision and recall reach the threshold. Labels that
     touch nothing count as false. ``iou``: a predicted label is right if an IoU exceeds the threshold, and claims the
-    highest such true label. Thresholds are a small list, sent to every task after the pixel join.
+    highest such true label, or with ``claim="best"`` the one of highest IoU. Thresholds are a small list, sent to every task after the pixel join.
     """
     grid = F.broadcast(_grid(pred.sparkSession, thresholds))
     pairs = pair_metrics(pred, gt, label_distance)
@@ -61,7 +61,7 @@ def page_counts(pred: DataFrame, gt: DataFrame, thresholds: list[float], method:
         out = base.join(hit, ["page_id", "iou_thr"], "left").join(touched, "page_id", "left").fillna(0)
         fp, fn = F.col("n_pred") - F.col("met") + F.col("bad_p"), F.col("n_gt") - F.col("gt_met") + F.col("bad_r")
     else:
-        won = pairs.crossJoin(grid).filter(F.col("iou") > F.col("iou_thr")).groupBy("page_id", "iou_thr", "pred_label").agg(F.max("gt_label").alias("claim"))
+        won = pairs.crossJoin(grid).filter(F.col("iou") > F.col("iou_thr")).groupBy("page_id", "iou_thr", "pred_label").agg((F.max("gt_label") if claim == "last" else F.min_by("gt_label", F.struct((-F.col("iou")).alias("i"), "gt_label"))).alias("claim"))
         hit = won.groupBy("page_id", "iou_thr").agg(F.count("*").alias("tp"), F.countDistinct("claim").alias("claimed"))
         out = base.join(hit, ["page_id", "iou_thr"], "left").fillna(0)
         fp, fn = F.col("n_pred") - F.col("tp"), F.col("n_gt") - F.col("claimed")
@@ -88,10 +88,75 @@ def pixel_scores(pairs: DataFrame) -> DataFrame:
     return of(pairs, "pixel_iu").join(of(best_matches(pairs), "matched_pixel_iu"), "page_id")
 
 
+def kept_masks(runs: DataFrame, box_thrs: list[float], mask_thrs: list[float], least: int = 100) -> DataFrame:
+    """(page_id, det_id, level, mask_thr, area): the masks that detections leave at each mask threshold.
+
+    ``runs`` has (page_id, det_id, score, y, x0, x1, mask_score). ``level`` is the number of box thresholds, sorted, that the score
+    reaches; a mask counts if it is one or more, and if ``least`` pixels reach the mask threshold. Thresholds are
+    explored once for each mask, not for each run: runs are first summed by the number of mask thresholds they reach.
+    """
+    step = F.coalesce(F.size(F.filter(_doubles(mask_thrs), lambda t: t <= F.col("mask_score"))), F.lit(0))
+    sums = runs.filter(F.col("score") >= min(box_thrs)).withColumn("step", step).filter("step > 0")
+    sums = sums.groupBy("page_id", "det_id", "step").agg(F.max("score").alias("score"), F.sum(F.col("x1") - F.col("x0") + 1).alias("n"))
+    level = F.size(F.filter(_doubles(box_thrs), lambda t: t <= F.col("score")))
+    return _down(sums.withColumn("level", level).drop("score"), ["page_id", "det_id", "level"], mask_thrs, "area").filter(F.col("area") >= least)
+
+
+def _doubles(values: list[float]):
+    return F.array(*[F.lit(float(x)) for x in sorted(values)])
+
+
+def _down(sums: DataFrame, keys: list[str], mask_thrs: list[float], name: str) -> DataFrame:
+    """Sums ``n`` by the number of mask thresholds reached (``step``), as sums at each threshold."""
+    at = F.explode(F.slice(_doubles(mask_thrs), 1, F.col("step"))).alias("mask_thr")
+    return sums.select(*keys, "n", at).groupBy(*keys, "mask_thr").agg(F.sum("n").alias(name))
+
+
+def full_sweep(runs: DataFrame, gt: DataFrame, box_thrs: list[float], mask_thrs: list[float], iou_thrs: list[float], least: int = 100) -> DataFrame:
+    """Dataset scores (box_thr, mask_thr, iou_thr, pages, tp, fp, fn, precision, recall, jaccard, f1) from detections.
+
+    Each detection's mask is a predicted line of its own; masks that touch are to be merged before (``raster.components``).
+    Lines match as in ``page_counts`` (icdar); pages without scores at a threshold leave its sums.
+    One pixel join serves all thresholds: intersections are summed by the number of mask thresholds they reach, matches
+    of a page by the numbers of box and score thresholds, and the grid meets only those counts.
+    """
+    spark, boxes, ious = runs.sparkSession, sorted(box_thrs), sorted(iou_thrs)
+    masks = kept_masks(runs, box_thrs, mask_thrs, least)
+    step = F.size(F.filter(_doubles(mask_thrs), lambda t: t <= F.col("mask_score")))
+    p = runs.filter(F.col("score") >= boxes[0]).select("page_id", "y", "det_id", F.col("x0").alias("p0"), F.col("x1").alias("p1"), step.alias("step")).filter("step > 0")
+    g = gt.select("page_id", "y", F.col("label").alias("gt_label"), F.col("x0").alias("g0"), F.col("x1").alias("g1"))
+    met = p.join(g, ["page_id", "y"]).filter((F.col("p0") <= F.col("g1")) & (F.col("g0") <= F.col("p1")))
+    shared = met.groupBy("page_id", "det_id", "gt_label", "step").agg(F.sum(F.least("p1", "g1") - F.greatest("p0", "g0") + 1).alias("n"))
+    pairs = _down(shared, ["page_id", "det_id", "gt_label"], mask_thrs, "inter").join(masks, ["page_id", "det_id", "mask_thr"])
+    pairs = pairs.join(S.areas(gt).select("page_id", F.col("label").alias("gt_label"), F.col("area").alias("b")), ["page_id", "gt_label"])
+    i = F.col("inter")
+    best = pairs.groupBy("page_id", "mask_thr", "det_id").agg(
+        F.min_by(F.struct((i / F.col("area")).alias("p"), (i / F.col("b")).alias("r")), F.struct((-(i / (F.col("area") + F.col("b") - i))).alias("iou"), "gt_label")).alias("m"), F.max("level").alias("level"))
+    reach = lambda x: F.size(F.filter(_doubles(ious), lambda t: t <= x))
+    one = lambda frame, kind, *more: frame.select("page_id", F.lit(kind).alias("kind"), "mask_thr", "level", *more)
+    none, each = [F.lit(0).alias("p"), F.lit(0).alias("r")], F.lit(1).cast("bigint").alias("n")
+    true = S.areas(gt).groupBy("page_id").agg(F.count("*").alias("n"))
+    pages = masks.groupBy("page_id", "mask_thr").agg(F.max("level").alias("level")).join(true, "page_id")
+    touched = pairs.groupBy("page_id", "mask_thr", "gt_label").agg(F.max("level").alias("level"))
+    counts = one(best, "met", reach(F.col("m.p")).alias("p"), reach(F.col("m.r")).alias("r"), each)
+    for frame, kind, n in ((masks, "mask", each), (touched, "touched", each), (pages, "true", F.col("n"))):
+        counts = counts.unionByName(one(frame, kind, *none, n.alias("n")))
+    counts = counts.groupBy("page_id", "kind", "mask_thr", "level", "p", "r").agg(F.sum("n").alias("n"))
+    grid = spark.createDataFrame([(b + 1, float(x), t + 1, float(y)) for b, x in enumerate(boxes) for t, y in enumerate(ious)], "b int, box_thr double, t int, iou_thr double")
+    met = counts.join(F.broadcast(grid), F.col("level") >= F.col("b"))
+    of = lambda kind, test=F.lit(True): F.sum(F.when((F.col("kind") == kind) & test, F.col("n")).otherwise(0))
+    p, r = F.col("p") >= F.col("t"), F.col("r") >= F.col("t")
+    out = met.groupBy("page_id", "box_thr", "mask_thr", "iou_thr").agg(
+        of("met", p & r).alias("tp"), (of("mask") - of("met", p)).alias("fp"), (of("true") - of("touched") + of("met", ~r)).alias("fn"))
+    kept = out.filter((F.col("tp") + F.col("fp") > 0) & (F.col("tp") + F.col("fn") > 0))
+    return rates(kept.groupBy("box_thr", "mask_thr", "iou_thr").agg(F.count("*").alias("pages"), *[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]))
+
+
 def mean_precision(scores: DataFrame) -> DataFrame:
-    """Mean precision over the thresholds, that at .50 and .75, and the curve."""
+    """Mean precision over the thresholds, that at .50 and .75, and ``curve``: (recall, precision) by ascending threshold."""
     at = lambda t: F.max(F.when(F.abs(F.col("iou_thr") - t) < 1e-9, F.col("precision")))
-    return scores.agg(at(0.5).alias("map50"), at(0.75).alias("map75"), F.avg("precision").alias("map"))
+    return scores.agg(at(0.5).alias("map50"), at(0.75).alias("map75"), F.avg("precision").alias("map"),
+        F.transform(F.array_sort(F.collect_list(F.struct("iou_thr", "recall", "precision"))), lambda x: x.dropFields("iou_thr")).alias("curve"))
 
 
 def deep_intersections(pred: DataFrame, gt: DataFrame) -> DataFrame:

@@ -99,3 +99,55 @@ def test_same_scores_for_any_partitioning(spark, parts):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", 4)
     assert (row.tp + row.fp, row.tp + row.fn) >= (2, 0)
+
+
+def test_components_of_random_masks(spark):
+    """Runs that touch or overlap in a row, and rows that meet at corners, against a flood fill."""
+    rng = np.random.default_rng(8)
+    image = rng.random((40, 60)) < 0.4
+    rows = []
+    for y in range(40):
+        for part in np.split(np.flatnonzero(image[y]), np.flatnonzero(np.diff(np.flatnonzero(image[y])) != 1) + 1):
+            if len(part):
+                rows.append((1, y, int(part[0]), int(part[-1])))
+                if len(part) > 2:
+                    rows.append((1, y, int(part[1]), int(part[-1])))
+    want, n = np.zeros(image.shape, int), 0
+    for y, x in zip(*np.nonzero(image)):
+        if not want[y, x]:
+            n, todo = n + 1, [(y, x)]
+            while todo:
+                a, b = todo.pop()
+                if 0 <= a < 40 and 0 <= b < 60 and image[a, b] and not want[a, b]:
+                    want[a, b] = n
+                    todo += [(a + i, b + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    got = raster.components(spark.createDataFrame(rows, "page_id int, y int, x0 int, x1 int")).collect()
+    assert len(got) == len(rows) and all(r.label == want[r.y, r.x0] == want[r.y, r.x1] for r in got)
+
+
+def test_full_sweep_equals_single_scores(spark):
+    """Every cell of the sweep is the score of the masks that its thresholds leave."""
+    rng = np.random.default_rng(9)
+    gt = np.zeros((60, 40), int)
+    rows = []
+    for k in range(6):
+        gt[10 * k : 10 * k + 6, 5:35] = k + 1
+        left, top, score = int(rng.integers(0, 12)), 10 * k + int(rng.integers(0, 3)), float(rng.choice([0.3, 0.6, 0.9]))
+        rows += [(1 + k % 2, k, score, y, left, left + 28, float(rng.choice([0.2, 0.5, 0.8]))) for y in range(top, top + 6)]
+    pages = [runs(spark, np.where(np.isin(gt, [k + 1 for k in range(6) if k % 2 == odd]), gt, 0), odd + 1) for odd in (0, 1)]
+    gt = pages[0].unionByName(pages[1])
+    frame = spark.createDataFrame(rows, "page_id int, det_id int, score double, y int, x0 int, x1 int, mask_score double")
+    boxes, masks, ious = [0.25, 0.55, 0.85], [0.1, 0.45, 0.7], [0.3, 0.6, 0.9]
+    got = {(r.box_thr, r.mask_thr, r.iou_thr): (r.pages, r.tp, r.fp, r.fn) for r in M.full_sweep(frame, gt, boxes, masks, ious, 40).collect()}
+    want = {}
+    for b in boxes:
+        for m in masks:
+            own = frame.filter((F.col("score") >= b) & (F.col("mask_score") >= m)).select("page_id", F.col("det_id").alias("label"), "y", "x0", "x1")
+            for r in M.dataset_scores(M.page_counts(S.large(own, 40), gt, ious)).collect():
+                want[b, m, r.iou_thr] = (r.pages, r.tp, r.fp, r.fn)
+    assert got == want
+
+
+def test_train_limit(spark):
+    got = {r.subset: r["count"] for r in D.split(spark.range(100).withColumnRenamed("id", "k"), "k", digits=3, limit=10).groupBy("subset").count().collect()}
+    assert got == {"train": 10, "val": 16, "test": 20}
