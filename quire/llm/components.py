@@ -96,7 +96,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     they hold before and after each round, so few rounds are needed.
     """
     own = links.select(F.col(a).alias("a"), F.col(b).alias("b")).dropna().filter(F.col("a") != F.col("b"))
-    now = stored(contracted(own), "star")
+    now = stored(contracted(stored(own, "links")), "star")  # links may come from Python: one worker a task
     while not _settled(now):
         now = stored(contracted(_star(_star(now, False), True)), "star")
     ends = F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("root")), F.struct(F.col("b").alias("node"), F.col("b").alias("root"))))

@@ -18,9 +18,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, stored, table
+from .common import mapped, public_tokenizer, slices, stored, table
 from .encoding import encoder
-from .packing import END, _path
+from .packing import END
 
 MAGIC = b"QDAC0001"
 RANK_BITS = 512
@@ -139,7 +139,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end: int = END, key: str = "doc_i
 
     own = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("tie"))
     sorted_docs = own.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    return sorted_docs.mapInArrow(run, "part int, file int, n_ids bigint, content binary")
+    return mapped(sorted_docs, run, "part int, file int, n_ids bigint, content binary")
 
 
 def read_ids(files: DataFrame) -> DataFrame:
@@ -166,10 +166,10 @@ def read_ids(files: DataFrame) -> DataFrame:
     parts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_start"))
     within = Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.join(parts, "part").select("part", "file", (F.col("part_start") + F.coalesce(F.sum("n_ids").over(within), F.lit(0))).alias("file_start"))
-    docs = files.select("part", "file", "content").mapInArrow(run, "part int, file int, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint")
+    docs = mapped(files.select("part", "file", "content"), run, "part int, file int, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint")
     return docs.join(starts, ["part", "file"]).select("doc_id", (F.col("file_start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op9(spark, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     """Ids of all documents, written as files in the shared folder and read back."""
-    return read_ids(stored(write_ids(table(spark, sf_dir, "documents"), tokenizer or _path("word_bpe_49k.json")), "ids"))
+    return read_ids(stored(write_ids(table(spark, sf_dir, "documents"), tokenizer or public_tokenizer("word_bpe_49k.json")), "ids"))

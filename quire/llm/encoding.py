@@ -3,7 +3,7 @@
 Public BPE tokenizers cut a text before a space that stands between two other
 characters, whatever else the text holds, so the ids of a text are those of its pieces.
 Texts repeat their words, so each worker keeps the ids of the pieces it has met, up to
-``CACHE`` pieces; further ones are encoded as they come. New pieces are encoded many at a
+``CACHE_BYTES``; further ones are encoded as they come. New pieces are encoded many at a
 time, set apart by a word that is one token: where it is counted too often,
 the pieces are encoded one by one.
 """
@@ -12,13 +12,13 @@ from __future__ import annotations
 
 import os
 import re
-from functools import lru_cache
 
 import numpy as np
 
-from .common import chunked
+from .common import chunked, held
 
-CACHE = 1_000_000
+#: Bytes of a worker's cache, and what an entry takes besides its piece and ids.
+CACHE_BYTES, ENTRY = 80 << 20, 170
 _TOGETHER = 64
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -38,6 +38,7 @@ class PieceEncoder:
         self.spaced = spaced
         self.inner: dict[str, bytes] = {} if spaced else {"": b""}
         self.first: dict[str, bytes] = {}
+        self.size = 0
         self.divider, self.divider_id = self._divider()
 
     def _divider(self) -> tuple[str, int]:
@@ -93,12 +94,14 @@ class PieceEncoder:
         now = dict(zip(new, self._together(new)))
         first = dict(zip(firsts, self._alone(firsts)))
         ends = dict(zip(odd, self._alone(list(odd.values()))))
-        if len(known) < CACHE:
+        if self.size < CACHE_BYTES:
             known.update(now)
+            self.size += weight(now)
         else:
             known = Either(known, now)
-        if len(self.first) < CACHE // 10:
+        if self.size < CACHE_BYTES:
             self.first.update(first)
+            self.size += weight(first)
             first = self.first
         else:
             first = Either(self.first, first)
@@ -108,6 +111,11 @@ class PieceEncoder:
         return [first[h] + b"".join(map(get, own)) for h, own in zip(heads, parts)]
 
 
+def weight(entries: dict[str, bytes]) -> int:
+    """About the bytes that these cache entries take."""
+    return ENTRY * len(entries) + sum(map(len, entries)) + sum(map(len, entries.values()))
+
+
 class Either(dict):
     """Two mappings read as one."""
 
@@ -119,7 +127,6 @@ class Either(dict):
         return self.a[key]
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str, spaced: bool) -> PieceEncoder:
     """The worker's encoder of this file."""
-    return PieceEncoder(path, spaced)
+    return held(("encoder", path, spaced), lambda: PieceEncoder(path, spaced))

@@ -1,6 +1,6 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-A sequence is a word (at most ``LONGEST`` bytes; longer ones go on in the next sequence).
+A sequence is a word, or up to ``LONGEST`` bytes of one, so scripts without spaces are read in such parts.
 Two gated recurrent layers read its bytes, one from each side, and every position gets
 probabilities of the languages. A document's log probabilities are pooled over all of its positions.
 The network is trained here, in numpy, by backpropagation through time, on a bounded sample of
@@ -18,21 +18,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import mapped, slices, table
 
 LONGEST = 48
 HIDDEN = 24
 #: Documents of each language in the training sample, on average.
 PER_LANG = 250
-CACHE = 400_000
+CACHE = 300_000
+
+
+def _cut(word: bytes) -> list[bytes]:
+    """A word in parts of at most ``LONGEST`` bytes, none of which splits a character."""
+    out, at = [], 0
+    while at < len(word):
+        to = min(at + LONGEST, len(word))
+        while to < len(word) and word[to] & 0xC0 == 0x80:
+            to -= 1
+        out.append(word[at:to])
+        at = to
+    return out
 
 
 def pieces(text: bytes) -> list[bytes]:
-    """The words of a text, long ones cut."""
+    """The sequences of a text: its words, long ones cut between characters. Together they hold every byte but white space."""
     words = text.split()
     if all(len(w) <= LONGEST for w in words):
         return words
-    return [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
+    return [part for w in words for part in (_cut(w) if len(w) > LONGEST else [w])]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -185,12 +197,8 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, key: str = "doc_id", text: st
     return train(list(drawn.t), list(drawn.l))
 
 
-def predict(docs: DataFrame, model: Tagger, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(row, lang_pred, score)``: each row of ``docs`` as a struct, its language, and the mean probability of that language.
-
-    Only the text is read. ``und`` with score zero where the text is null or has no letter,
-    or no language is known. Other columns pass through in ``row``.
-    """
+def _predictions(model: Tagger):
+    """Batches (row, text) to (row, language, score)."""
     n = len(model.langs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,12 +232,22 @@ def predict(docs: DataFrame, model: Tagger, key: str = "doc_id", text: str = "te
                 score.append(min(1.0, max(0.0, float(total[n + best]) / sum(map(len, own)))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["row", "lang_pred", "score"])
 
+    return run
+
+
+def predict(docs: DataFrame, model: Tagger, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(row, lang_pred, score)``: each row of ``docs`` as a struct, its language, and the mean probability of that language.
+
+    Only the text is read. ``und`` with score zero where the text is null or has no letter,
+    or no language is known. Other columns pass through in ``row``. Rows do not meet, so null and repeated ids change nothing; whole
+    texts are read, however long, and a task holds the outputs of ``CACHE`` words. Equal scores go to the first language by name.
+    """
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
-    return own.mapInArrow(run, f"row {own.schema['row'].dataType.simpleString()}, lang_pred string, score double")
+    return mapped(own, _predictions(model), f"row {own.schema['row'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
-    """The language of every document, by a network trained on those that are not held out."""
+    """The language of every document, by a network trained on those that are not held out; nulls and long texts as ``predict`` states."""
     docs = table(spark, sf_dir, "documents")
     out = predict(docs.select("doc_id", "text"), fit(docs))
     return out.select("row.doc_id", held_out("row.doc_id").alias("held_out"), "lang_pred", "score")

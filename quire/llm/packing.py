@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import mapped, public_tokenizer, slices, table
 from .encoding import encoder
 
 WINDOW = 2048
@@ -26,7 +26,6 @@ END = 1
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
-
 class LevelPacker:
     """Online sum-of-squares packing; pieces are (item, start, ids as bytes, total)."""
 
@@ -117,8 +116,9 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END,
     """Pieces of all documents, each with its window (``sequence_id``) and its place there.
 
     Every task packs the rows of its own partition; no row moves. A null or empty text
-    has the end id alone. Null ids, repeated rows and other columns are harmless: each row is a
-    document of its own. ``ids`` adds the pieces' ids as binary. An empty table gives
+    has the end id alone, a very long one many windows. Null ids, repeated rows and other columns are harmless: each row is a
+    document of its own. A task holds the ids of its open windows, at most one for each fill level that the
+    packing keeps apart, and of one batch. ``ids`` adds the pieces' ids as binary. An empty table gives
     an empty table. Window numbers hold the partition number, so they never clash.
     """
 
@@ -146,15 +146,12 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END,
         if found := list(packer.close()):
             yield rows(found)
 
-    return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SCHEMA + ", ids binary" * ids)
+    return mapped(docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")), run, SCHEMA + ", ids binary" * ids)
 
 
 def op4(spark, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     """All documents in windows of 2048 ids."""
-    return pack(table(spark, sf_dir, "documents"), tokenizer or _path("byte_bpe_50k.json"))
-
+    return pack(table(spark, sf_dir, "documents"), tokenizer or public_tokenizer("byte_bpe_50k.json"))
 
-def _path(name: str) -> str:
-    import public_tokenizers
 
-    return public_tokenizers.path(name)
+_path = public_tokenizer

@@ -48,7 +48,8 @@ def test_forest_equals_brute_force():
     base = rng.integers(0, 2**64, 50, dtype=np.uint64)
     sets = [np.unique(np.r_[rng.permutation(base)[: rng.integers(36, 51)], rng.integers(0, 2**64, rng.integers(0, 6), dtype=np.uint64)]) for _ in range(60)]
     near = {(i, j) for i in range(60) for j in range(i + 1, 60) if len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= 0.8}
-    linked = shingle_sets.forest(sets)
+    fps = np.array([simhash.vote(x) for x in sets], np.int64).view(np.uint64)
+    linked = shingle_sets.forest(sets, fps, np.arange(60))
     assert set(linked) <= near
 
     def groups(pairs):
