@@ -76,3 +76,46 @@ def inventory(pages: DataFrame, lines: DataFrame, components: DataFrame) -> Data
     heights = component_heights(components).groupBy("page_id").agg(F.avg("line_height").alias("avg_line_height"))
     out = pages.select("page_id", "width", "height").join(counts, "page_id", "left").join(heights, "page_id", "left")
     return out.withColumn("line_count", F.coalesce("line_count", F.lit(0).cast("bigint")))
+
+
+def count_windows(pages: DataFrame, sample: tuple[int, int] = (200, 200), repeat: int = 10, seed: str = "46") -> DataFrame:
+    """``repeat`` windows (page_id, repeat, x0, y0, x1, y1, scale) of ``sample`` width and height, placed by md5(seed, page, repeat).
+
+    ``scale`` takes a window's line count to the page's. A page that a window does not fit in gets one of its whole size.
+    """
+    w, h = sample
+    fits = (F.col("width") > w) & (F.col("height") > h)
+    own = pages.withColumn("fits", fits).select("page_id", "width", "height", "fits", F.explode(F.sequence(F.lit(0), F.when(fits, F.lit(repeat - 1)).otherwise(0))).alias("repeat"))
+    own = own.withColumn("digest", F.md5(F.concat_ws("-", F.lit(seed), F.col("page_id").cast("string"), F.col("repeat").cast("string"))))
+    start = lambda part, side, size: F.when(F.col("fits"), F.floor(_draw("digest", part) * (F.col(side) - size))).otherwise(0).cast("int")
+    own = own.withColumns({"x0": start(0, "width", w), "y0": start(1, "height", h)})
+    end = lambda at, side, size: F.when(F.col("fits"), F.col(at) + size - 1).otherwise(F.col(side) - 1).cast("int")
+    scale = F.when(F.col("fits"), F.col("height") / h).otherwise(1.0)
+    return own.select("page_id", "repeat", "x0", "y0", end("x0", "width", w).alias("x1"), end("y0", "height", h).alias("y1"), scale.alias("scale"))
+
+
+def strip_windows(pages: DataFrame, width: int = 300, repeat: int = 3, seed: str = "46", margin: int = 10) -> DataFrame:
+    """Windows as high as the page less a margin; pages narrower than one and a half strips get none."""
+    wide = pages.filter((F.col("width") >= 1.5 * width) & (F.col("height") > 2 * margin))
+    own = wide.select("page_id", "width", "height", F.explode(F.sequence(F.lit(0), F.lit(repeat - 1))).alias("repeat"))
+    own = own.withColumn("digest", F.md5(F.concat_ws("-", F.lit(seed), F.col("page_id").cast("string"), F.col("repeat").cast("string"))))
+    own = own.withColumn("x0", F.floor(_draw("digest", 0) * (F.col("width") - width)).cast("int"))
+    return own.select("page_id", "repeat", "x0", F.lit(margin).alias("y0"), (F.col("x0") + width - 1).alias("x1"), (F.col("height") - margin - 1).cast("int").alias("y1"), F.lit(1.0).alias("scale"))
+
+
+def line_counts(pages: DataFrame, foreground: DataFrame, windows: DataFrame) -> DataFrame:
+    """(page_id, lines, dispersion): line counts estimated from the dominant frequency of the windows' row profiles.
+
+    A profile holds the foreground pixels of each row of a window. Windows without a positive frequency are left out; a page without any has
+    -1 twice. ``lines`` is the mean times the scale, cut to a whole number, ``dispersion`` the deviation over the scaled mean.
+    """
+    from quire.functions.raster import dominant_frequency
+
+    shown = windowed(foreground.withColumn("label", F.lit(1)), windows).groupBy("page_id", "repeat", "y").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("n"))
+    rows = shown.groupBy("page_id", "repeat").agg(F.map_from_entries(F.collect_list(F.struct("y", "n"))).alias("m"))
+    met = windows.join(rows, ["page_id", "repeat"])
+    profile = F.transform(F.sequence(F.lit(0), F.col("y1") - F.col("y0")), lambda y: F.coalesce(F.try_element_at("m", y), F.lit(0)).cast("double"))
+    counted = met.select("page_id", "scale", profile.alias("profile")).withColumn("k", dominant_frequency("profile")).filter("k > 0")
+    means = counted.groupBy("page_id").agg((F.avg("k") * F.max("scale")).alias("mean"), F.stddev_pop("k").alias("std"))
+    out = pages.select("page_id").join(means, "page_id", "left")
+    return out.select("page_id", F.coalesce(F.floor("mean").cast("int"), F.lit(-1)).alias("lines"), F.coalesce(F.col("std") / F.col("mean"), F.lit(-1.0)).alias("dispersion"))

@@ -102,3 +102,16 @@ def test_image_foreground(spark, tmp_path):
     rows = I.read_images(spark, str(tmp_path))
     assert sum(r.n for r in I.histogram(rows).collect()) == 48
     assert sorted((r.y, r.x0, r.x1) for r in I.foreground(rows).collect()) == [(2, 1, 4), (3, 1, 4)]
+
+
+def test_line_counts(spark):
+    """Twelve lines on a page of 240 rows, in patches, in strips and on a page smaller than a patch; an empty page fails."""
+    from quire.operators import windows as W
+
+    pages = spark.createDataFrame([(1, 600, 240), (2, 90, 120), (3, 600, 240)], "page_id int, width int, height int")
+    runs = [(1, y, 0, 599) for y in range(240) if y % 20 < 8] + [(2, y, 0, 89) for y in range(120) if y % 20 < 8]
+    fg = spark.createDataFrame(runs, "page_id int, y int, x0 int, x1 int")
+    got = {r.page_id: (r.lines, r.dispersion) for r in W.line_counts(pages, fg, W.count_windows(pages, (100, 80), 5)).collect()}
+    assert got == {1: (12, 0.0), 2: (6, 0.0), 3: (-1, -1.0)}
+    strips = {r.page_id: r.lines for r in W.line_counts(pages, fg, W.strip_windows(pages)).collect()}
+    assert strips[1] in (11, 12) and strips[2] == strips[3] == -1
