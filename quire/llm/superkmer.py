@@ -8,7 +8,9 @@ windows of the strings that share a minimiser are sorted and counted.
 
 Strings met more than once in a batch of documents are known to repeat: one copy
 travels, and what it covers is told at once. So a hot passage sends one string for each batch,
-not one for each document. Strings are compared as bytes, so counts are exact.
+not one for each document. Buckets come sorted and are counted one at a time. The windows of a hot minimiser, and those of a bucket that
+outgrows ``BUCKET_BYTES``, go on one by one to tasks chosen by the whole window, where equal windows still meet.
+Strings and windows are compared as bytes, so counts are exact.
 """
 
 from __future__ import annotations
@@ -23,13 +25,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, slices, table
+from .common import byte_texts, chunked, mapped, slices, stored, table
 
 WIDTH = 35
 GRAM = 4
 #: Words of a document that are cut into super-k-mers at once.
 _RUN = 1 << 18
-_BATCH = 1024
+_BATCH = 2048
+#: Text bytes for each bucket, packed bytes of a bucket and windows of a minimiser beyond which windows go on one by one.
+TEXT_BYTES, BUCKET_BYTES, HOT = 4 << 20, 32 << 20, 50_000
 
 
 def _minima(x: np.ndarray, span: int) -> np.ndarray:
@@ -98,11 +102,26 @@ def _windows(packed: bytes, n: int, width: int) -> list[bytes]:
     return out
 
 
-def _repeats(rows: np.ndarray, strings: list[bytes], width: int) -> Iterator[tuple[int, int, int, int]]:
-    """(doc, tie, first word, end) covered by windows of one minimiser that occur more than once."""
+def _strings(rows: np.ndarray, strings: list[bytes]) -> dict[bytes, list]:
+    """The occurrences (doc, tie, first, windows) of each string."""
     by: dict[bytes, list] = defaultdict(list)
-    for mark, doc, tie, first, n, at in rows.tolist():
+    for _, doc, tie, first, n, at in rows.tolist():
         by[strings[at]].append((doc, tie, first, n))
+    return by
+
+
+def _one_by_one(rows: np.ndarray, strings: list[bytes], width: int) -> Iterator[tuple[int | None, int, int, int, bytes]]:
+    """(doc, tie, first word, whether known to repeat, window) of every window; of a string known to repeat, one copy has no doc."""
+    for packed, found in _strings(rows, strings).items():
+        many = int(len(found) > 1 or found[0][3] < 0)
+        for offset, window in enumerate(_windows(packed, abs(found[0][3]), width)):
+            for doc, tie, first, n in found:
+                yield doc if n > 0 else None, tie, first + offset, many, window
+
+
+def _repeats(rows: np.ndarray, strings: list[bytes], width: int) -> Iterator[tuple[int, int, int, int]]:
+    """(doc, tie, first word, end) covered by windows of one minimiser that occur more than once."""
+    by = _strings(rows, strings)
     entries = []
     for k, (packed, found) in enumerate(by.items()):
         many = len(found) > 1 or any(x[3] < 0 for x in found)
@@ -137,10 +156,12 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, buckets: int | None = No
     """``(doc_id, tie, spans)``: word spans [first, end) of each document covered by windows that occur more than once.
 
     ``tie`` is the XXH64 of the text, so rows that share a doc_id stay apart; a null id reads
-    as the least number. Spans may touch or overlap; documents without any have no row.
+    as the least number. Spans may touch or overlap; documents without any have no row. Rows that share id and text repeat
+    each other and share their spans. A task holds one bucket, or one batch of texts with its strings.
     """
-    spark = docs.sparkSession
-    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not buckets:
+        size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+        buckets = max(1, -(-size // TEXT_BYTES))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, _BATCH):
@@ -162,35 +183,68 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, buckets: int | None = No
             if dealt:
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array(dealt, pa.int32()), "packed": pa.array([_pack(*x) for x in dealt.values()], pa.binary())})
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = defaultdict(list)
-        for batch in batches:
-            for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held[bucket].append(packed)
-        for bucket in list(held):
-            tables, strings = [], []
-            for raw in held.pop(bucket):
-                rows, own = _unpack(raw)
-                rows = rows.copy()
-                rows[rows[:, 5] >= 0, 5] += len(strings)
-                tables.append(rows)
-                strings += own
-            rows = np.concatenate(tables)
-            known = rows[rows[:, 5] < 0]
-            out = [(d, t, f, f + n + width - 1) for _, d, t, f, n, _ in known.tolist()]
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        doc, tie, first, b, window = zip(*rows)
+        numbers = [pa.array(x, pa.int64()) for x in (doc, tie, first, b)]
+        return pa.RecordBatch.from_arrays([*numbers, pa.array(window, pa.binary())], ["doc_id", "tie", "a", "b", "window"])
+
+    def told(rows: np.ndarray) -> list[tuple]:
+        return [(d, t, f, f + n + width - 1, None) for _, d, t, f, n, at in rows[rows[:, 5] < 0].tolist()]
+
+    def counted(packed: list[bytes]) -> Iterator[tuple]:
+        tables, strings = [], []
+        for raw in packed:
+            rows, own = _unpack(raw)
+            yield from told(rows)
             rows = rows[rows[:, 5] >= 0]
-            rows = rows[np.argsort(rows[:, 0], kind="stable")]
-            edge = np.flatnonzero(np.diff(rows[:, 0])) + 1
-            for s, e in zip([0, *edge.tolist()], [*edge.tolist(), len(rows)]):
-                if e - s > 1:
-                    out += _repeats(rows[s:e], strings, width)
-            if out:
-                doc, tie, a, b = zip(*out)
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, pa.int64()), "tie": pa.array(tie, pa.int64()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            rows[:, 5] += len(strings)
+            tables.append(rows)
+            strings += own
+        rows = np.concatenate(tables)
+        rows = rows[np.argsort(rows[:, 0], kind="stable")]
+        edge = np.flatnonzero(np.diff(rows[:, 0])) + 1
+        for s, e in zip([0, *edge.tolist()], [*edge.tolist(), len(rows)]):
+            if e - s > 1:
+                if np.abs(rows[s:e, 4]).sum() > HOT:
+                    yield from _one_by_one(rows[s:e], strings, width)
+                else:
+                    yield from ((*x, None) for x in _repeats(rows[s:e], strings, width))
+
+    def passed_on(raw: bytes) -> Iterator[tuple]:
+        rows, strings = _unpack(raw)
+        yield from told(rows)
+        yield from _one_by_one(rows[rows[:, 5] >= 0], strings, width)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[tuple]:
+            now, packed, size = None, [], 0
+            for batch in batches:
+                for bucket, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    if bucket != now:
+                        if packed:
+                            yield from counted(packed)
+                        now, packed, size = bucket, [], 0
+                    size += len(raw)
+                    packed.append(raw)
+                    if size > BUCKET_BYTES:
+                        for own in packed:
+                            yield from passed_on(own)
+                        packed = []
+            if packed:
+                yield from counted(packed)
+
+        for rows in chunked(found(), 1 << 15):
+            yield batch_of(rows)
 
     own = docs.select(_id(F.col(key)).alias("doc_id"), F.xxhash64(F.col(text)).alias("tie"), F.col(text).alias("text"))
-    strings = own.mapInArrow(cut, "bucket int, packed binary").repartition(F.col("bucket"))
-    spans = strings.mapInArrow(count, "doc_id bigint, tie bigint, a bigint, b bigint")
+    packed = mapped(own, cut, "bucket int, packed binary").repartition(F.col("bucket")).sortWithinPartitions("bucket")
+    found = stored(mapped(packed, count, "doc_id bigint, tie bigint, a bigint, b bigint, window binary"), "spans")
+    spans = found.filter("window IS NULL").select("doc_id", "tie", "a", "b")
+    single = found.filter("window IS NOT NULL")
+    if not single.isEmpty():
+        many = single.groupBy("window").agg(F.count("*").alias("n"), F.max("b").alias("known")).filter("n > 1 OR known = 1").select("window")
+        met = single.filter("doc_id IS NOT NULL").join(many, "window", "left_semi")
+        spans = spans.unionByName(met.select("doc_id", "tie", "a", (F.col("a") + width).alias("b")))
     return spans.groupBy("doc_id", "tie").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
@@ -226,11 +280,11 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", tex
                 kept.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], ["row", "kept", "n_words", "n_removed"])
 
-    return met.mapInArrow(strip, schema)
+    return mapped(met, strip, schema)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
-    """All documents without the words of repeated windows."""
+    """All documents without the words of repeated windows; nulls, repeated rows and long texts as ``remove_repeats`` states."""
     out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
