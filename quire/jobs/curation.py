@@ -139,6 +139,19 @@ def g7(spark, d):
     return own.select("page_id", "line_idx", F.col("p.x").cast("int").alias("x"), F.col("p.y").alias("y"))
 
 
+@query("p13_labels_applied_twice", f"WITH {X.SQL}, two AS (SELECT * FROM pred WHERE label % 5 = 0) SELECT page_id, label, CAST(sum(greatest(0, r - l - 99)) AS BIGINT) AS pixels FROM (SELECT *, unnest(range(t, b + 1)) AS y FROM two) WHERE r - l >= 100 GROUP BY ALL")
+def p13_twice(spark, d):
+    """Each fifth label once more, from 100 pixels to its right on."""
+    pred = maps(spark, d)[0]
+    return S.applied_twice(pred.unionByName(pred.filter("label % 5 = 0").withColumns({"x0": F.col("x0") + 100, "x1": F.col("x1") + 100})))
+
+
+@query("a11_outside_lines", _LINES + " SELECT page_id, region_idx, line_idx FROM lines a JOIN (SELECT page_id, region_idx, l + 30 AS l2, t AS t2, r - 30 AS r2, b AS b2 FROM regions) USING (page_id, region_idx) WHERE l < l2 OR t < t2 OR r > r2 OR b > b2")
+def a11_outside(spark, d):
+    lines = line_rows(spark, d)
+    return DOC.outside(region_rows(lines).withColumns({"l": F.col("l") + 30, "r": F.col("r") - 30}), lines)
+
+
 def written(spark, name: str) -> str:
     """A new path in the folder that the cluster shares; a temporary folder only where none is set, as in tests."""
     home = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="quire-files-")

@@ -64,6 +64,13 @@ def grown(regions: DataFrame, lines: DataFrame) -> DataFrame:
     return met.select("page_id", "region_idx", F.least("l", "l2").alias("l"), F.least("t", "t2").alias("t"), F.greatest("r", "r2").alias("r"), F.greatest("b", "b2").alias("b"))
 
 
+def outside(regions: DataFrame, lines: DataFrame) -> DataFrame:
+    """(page_id, region_idx, line_idx) of lines whose box leaves their region's box: what a strict reader refuses."""
+    own = regions.select("page_id", "region_idx", *[F.col(c).alias(f"r{c}") for c in "ltrb"])
+    met = lines.join(own, ["page_id", "region_idx"])
+    return met.filter((F.col("l") < F.col("rl")) | (F.col("t") < F.col("rt")) | (F.col("r") > F.col("rr")) | (F.col("b") > F.col("rb"))).select("page_id", "region_idx", "line_idx")
+
+
 def promoted(regions: DataFrame, lines: DataFrame) -> DataFrame:
     """Each region as a page of its own: lines relative to it, its file named after page and region."""
     met = lines.join(regions.select("page_id", "region_idx", "image_filename", F.col("l").alias("rl"), F.col("t").alias("rt"), F.col("r").alias("rr"), F.col("b").alias("rb")), ["page_id", "region_idx"])
@@ -140,17 +147,19 @@ def stamped(pages: DataFrame, creator: str, created: str | None = None, comments
     return pages.withColumns(new)
 
 
-def rescaled(lines: DataFrame, factor: float, polygon: str = "coords") -> DataFrame:
+def rescaled(lines: DataFrame, factor: float, polygon: str = "coords", box: list[str] | None = None) -> DataFrame:
     """Lines whose polygon is a strip around the baseline, ``factor`` times the x-height high.
 
-    Lines without an x-height, and all lines for a factor of one, keep their ``polygon``.
+    Lines without an x-height, and all lines for a factor of one, keep their ``polygon``. ``box`` names the columns of the region's left, top,
+    right and bottom; strips stay within them.
     """
-    from quire.functions.geometry import shifted, strip
+    from quire.functions.geometry import boxed, shifted, strip
 
     if factor == 1:
         return lines.withColumn("coords", F.col(polygon))
     up = shifted(F.col("baseline"), F.lit(0), -F.col("x_height") / 2)
     made = strip(up, (F.col("x_height") * F.lit(factor)).cast("int"))
+    made = boxed(made, *[F.col(c) for c in box]) if box else made
     return lines.withColumn("coords", F.when(F.col("x_height").isNull() | (F.size("baseline") < 2), F.col(polygon)).otherwise(made))
 
 

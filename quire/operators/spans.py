@@ -67,6 +67,14 @@ def limits(spans: DataFrame, most_label: int = 255, most_depth: int = 4) -> Data
     return out.withColumn("fits", (F.col("max_label") <= most_label) & (F.coalesce("max_depth", F.lit(0)) <= most_depth))
 
 
+def applied_twice(spans: DataFrame) -> DataFrame:
+    """(page_id, label, pixels) of labels that their own runs put on some pixels more than once."""
+    by = Window.partitionBy("page_id", "label", "y").orderBy("x0", "x1")
+    reach = F.max("x1").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    again = spans.withColumn("again", F.least(F.col("x1"), F.coalesce(reach, F.col("x0") - 1)) - F.col("x0") + 1).filter("again > 0")
+    return again.groupBy("page_id", "label").agg(F.sum("again").alias("pixels"))
+
+
 def unpacked(value):
     """The labels of a packed pixel, outermost byte first."""
     return F.filter(F.array(*[F.shiftrightunsigned(value, s).bitwiseAND(255) for s in (24, 16, 8, 0)]), lambda b: b != 0)
