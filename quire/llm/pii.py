@@ -99,10 +99,16 @@ def _card(hit: Column, key: str) -> Column:
 
 
 def _phone(hit: Column, key: str) -> Column:
+    """Area and exchange stay within 200 to 999, as the numbering plan has them; numbers outside it stay outside the plan's rule."""
+
     def go(d: Column) -> Column:
         head, own = F.substring(d, F.lit(1), F.length(d) - 10), F.substring(d, -10, 10)
-        new = feistel(key, "phone", F.substring(own, 1, 3).cast("bigint"), F.substring(own, 4, 7).cast("bigint"), F.lit(1000), F.lit(10_000_000))
-        return _let(new, lambda s: _refill(hit, F.concat(head, _pad(s["l"], 3), _pad(s["r"], 7))))
+        area, rest = F.substring(own, 1, 3).cast("bigint"), F.substring(own, 4, 7).cast("bigint")
+        plan = (area >= 200) & (rest >= 2_000_000)
+        inside = feistel(key, "phone", area - 200, rest - 2_000_000, F.lit(800), F.lit(8_000_000))
+        outside = feistel(key, "line", area, rest, F.lit(1000), F.lit(10_000_000))
+        put = lambda a, r: _refill(hit, F.concat(head, _pad(a, 3), _pad(r, 7)))
+        return F.when(plan, _let(inside, lambda s: put(s["l"] + 200, s["r"] + 2_000_000))).otherwise(_let(outside, lambda s: put(s["l"], s["r"])))
 
     return _let(_digits(hit), go)
 
@@ -201,7 +207,7 @@ def _date(hit: Column, key: str) -> Column:
 
 
 def _email(hit: Column, key: str) -> Column:
-    return F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(hit)), 256), 1, 12), F.lit("@example.invalid"))
+    return F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(hit)), 256), 1, 32), F.lit("@example.invalid"))
 
 
 def _secret(hit: Column, key: str) -> Column:
@@ -223,15 +229,10 @@ def pseudonym(hit: Column, key: str) -> Column:
     return F.coalesce(out, hit)
 
 
-def mask(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``docs`` with pseudonyms in its texts, and ``n_pii``, the number of values replaced.
-
-    A null text stays null with ``n_pii`` zero; texts without private values stay as they are. All other columns
-    pass through, and a column named ``n_pii`` of the input is replaced. Values that fail their check stay.
-    """
-    own = docs.drop("n_pii") if text != "n_pii" else docs
-    may = F.col(text).rlike(r"[0-9@]|AKIA|(?i:token|secret|key|password|passwd|pwd)\s{0,3}[=:]")
-    parts = F.when(may, F.struct(F.split(F.col(text), ANY, -1).alias("gaps"), F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0)).alias("hits")))
+def _masked(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``(row, masked)``: each row as a struct, and its new text with the number of values replaced (null: none)."""
+    may = F.col(f"`{text}`").rlike(r"[0-9@]|AKIA|(?i:token|secret|key|password|passwd|pwd)\s{0,3}[=:]")
+    parts = F.when(may, F.struct(F.split(F.col(f"`{text}`"), ANY, -1).alias("gaps"), F.regexp_extract_all(F.col(f"`{text}`"), F.lit(ANY), F.lit(0)).alias("hits")))
 
     def put(p: Column) -> Column:
         def one(new: Column) -> Column:
@@ -242,9 +243,19 @@ def mask(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
         return _let(F.transform(p["hits"], lambda h: pseudonym(h, key)), one)
 
     done = F.when(may, F.when(F.size(parts["hits"]) > 0, _let(parts, put)))
-    out = own.withColumn("__masked", done)
-    new = F.coalesce(F.col("__masked.text"), F.col(text))
-    return out.select(*[(new if c == text else F.col(f"`{c}`")).alias(c) for c in own.columns], F.coalesce(F.col("__masked.n"), F.lit(0)).alias("n_pii"))
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), done.alias("masked"))
+
+
+def mask(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``docs`` with pseudonyms in its texts, and ``n_pii``, the number of values replaced.
+
+    A null text stays null with ``n_pii`` zero; texts without private values stay as they are. All other columns
+    pass through, and a column named ``n_pii`` of the input is replaced. Values that fail their check stay. Rows do not meet, so
+    null and repeated ids change nothing; a long text takes a few times its own size.
+    """
+    new = {text: F.coalesce(F.col("masked.text"), F.col(f"row.`{text}`"))}
+    own = [c for c in docs.columns if c != "n_pii" or c == text]
+    return _masked(docs, key, text).select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in own], F.coalesce(F.col("masked.n"), F.lit(0)).alias("n_pii"))
 
 
 #: The key of the registered query; a deployment passes its own secret.
@@ -252,12 +263,13 @@ QUERY_KEY = "quire-demo-key"
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
-    """All documents with pseudonyms for private values."""
+    """All documents with pseudonyms for private values; nulls, repeated rows and long texts as ``mask`` states."""
     return mask(table(spark, sf_dir, "documents").select("doc_id", "text"), QUERY_KEY)
 
 
 def without_private(docs: DataFrame, key: str = QUERY_KEY) -> DataFrame:
-    """The documents with pseudonyms in their texts; n_chars follows."""
-    out = mask(docs, key)
-    new = {"n_chars": F.when(F.col("n_pii") > 0, F.length("text")).otherwise(F.col("n_chars"))}
-    return out.select(*[new.get(c, F.col(f"`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+    """The documents with pseudonyms in their texts; n_chars follows, all other columns stay."""
+    new = {"text": F.coalesce(F.col("masked.text"), F.col("row.text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("masked.n") > 0, F.length("masked.text")).otherwise(F.col("row.n_chars"))
+    return _masked(docs, key, "text").select(*[new.get(c, F.col(f"row.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])

@@ -23,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, table
-from .encoding import Either
-from .packing import _path
+from .common import held, mapped, public_tokenizer, slices, table
+from .encoding import CACHE_BYTES, Either, weight
 
 MARK = "▁"
-CACHE = 600_000
 #: Characters that are indexed together.
 TOGETHER = 400_000
+#: Characters of a word beyond which it is relaxed alone and not kept.
+LONG = 256
 _CUT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _NONE = 1 << 30
 
@@ -112,6 +112,7 @@ class Encoder:
         self.joins = {model.pieces[i]: i for i in own}
         self.pairs: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
+        self.size = 0
         spelled = [p.encode().replace(MARK.encode(), b" ") for p in model.pieces]
         for b, i in enumerate(model.byte_ids):
             spelled[i] = bytes([b])
@@ -154,13 +155,10 @@ class Encoder:
         out[ask] = np.fromiter(map(known.__getitem__, keys), bool, len(keys))[back]
         return out
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of each word, all indexed together."""
-        text = "\0".join(w.replace("\0", "\U0010ffff") for w in words) + "\0" * self.longest
-        codes = self._codes(text)
+    def _edges(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, piece, end) of every occurrence of a piece in the text, and of characters that no piece has."""
+        codes = self._codes(text + "\0" * self.longest)
         n = len(codes) - self.longest + 1
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        first = np.cumsum(sizes + 1) - sizes - 1
         suffixes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(codes, self.longest)[:n]).view(f"S{2 * self.longest}").ravel()
         array = np.argsort(suffixes, kind="stable")
         ranked = suffixes[array]
@@ -170,7 +168,45 @@ class Encoder:
         unknown = np.flatnonzero(codes[:n] == len(self.alphabet) + 1)
         starts = np.concatenate([at, unknown])
         piece = np.concatenate([np.repeat(self.ids, counts), np.full(len(unknown), self.m.unknown)])
-        ends = np.concatenate([at + np.repeat(self.sizes, counts), unknown + 1])
+        return starts, piece, np.concatenate([at + np.repeat(self.sizes, counts), unknown + 1])
+
+    def _long(self, word: str) -> bytes:
+        """Ids of one long word, indexed ``TOGETHER`` characters at a time; edges are relaxed one by one, sorted by their ends."""
+        n, reach, unknown, known = len(word), self.longest, self.m.unknown, self.pairs
+        text = word.replace("\0", "\U0010ffff")
+        piece_to, size_to = np.full(n + 1, -2, np.int32), np.zeros(n + 1, np.int32)
+        piece_to[0] = -1
+        for at in range(0, n, TOGETHER):
+            starts, piece, ends = self._edges(text[at : at + TOGETHER + reach - 1])
+            own = np.flatnonzero((starts < TOGETHER) & (at + ends <= n))
+            own = own[np.argsort(ends[own], kind="stable")]
+            best, size = piece_to[at : at + TOGETHER + reach].tolist(), size_to[at : at + TOGETHER + reach].tolist()
+            for s, p, e in zip(starts[own].tolist(), piece[own].tolist(), ends[own].tolist()):
+                b = best[s]
+                if b == -2:
+                    continue
+                if b >= 0 and b != unknown and p != unknown:
+                    key = b << 32 | p
+                    apart = known.get(key)
+                    if apart is None:
+                        apart = known[key] = self._apart(b, p)
+                    if not apart:
+                        continue
+                best[e], size[e] = p, e - s
+            piece_to[at : at + TOGETHER + reach], size_to[at : at + TOGETHER + reach] = best, size
+        found, at = [], n
+        while at > 0:
+            p, width = int(piece_to[at]), int(size_to[at])
+            found += [p] if p != unknown else self.m.byte_ids[list(word[at - 1].encode())].tolist()[::-1]
+            at -= width
+        return np.array(found[::-1], "<u4").tobytes()
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word, all indexed together."""
+        text = "\0".join(w.replace("\0", "\U0010ffff") for w in words)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        first, n = np.cumsum(sizes + 1) - sizes - 1, len(text) + 1
+        starts, piece, ends = self._edges(text)
         word = np.searchsorted(first, starts, side="right") - 1
         reach = ends - first[word]
         order = np.argsort(reach, kind="stable")
@@ -207,6 +243,8 @@ class Encoder:
         cut = [_CUT.findall(MARK + x.replace(" ", MARK)) if x else [] for x in texts]
         known = self.known
         new = sorted(set().union(*cut).difference(known))
+        long = {w: self._long(w) for w in new if len(w) > LONG}
+        new = [w for w in new if len(w) <= LONG]
         now: dict[str, bytes] = {}
         group, size = [], 0
         for w in [*new, None]:
@@ -216,10 +254,13 @@ class Encoder:
             if w is not None:
                 group.append(w)
                 size += len(w) + 1
-        if len(known) < CACHE:
+        if self.size < CACHE_BYTES:
             known.update(now)
+            self.size += weight(now)
         else:
             known = Either(known, now)
+        if long:
+            known = Either(known, long)
         return [b"".join(map(known.__getitem__, own)) for own in cut]
 
     def decode(self, ids: bytes) -> str:
@@ -234,17 +275,16 @@ class Encoder:
         return b"".join(out).decode("utf-8", "replace").removeprefix(" ")
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """The worker's encoder of this model."""
-    return Encoder(load(path))
+    return held(("pieces", path), lambda: Encoder(load(path)))
 
 
 def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, text, ids, decoded)`` of every row: ids as little-endian unsigned 32-bit binary, and their text again.
 
     A null text counts as empty and has no ids. Repeated rows and null ids stay; other columns
-    play no part. ``decoded`` equals the text unless it holds the space mark itself, which reads as a space.
+    play no part. Texts are whole, however long; a word without spaces takes about 30 bytes of memory a character. ``decoded`` equals the text unless it holds the space mark itself, which reads as a space.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,10 +294,10 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text")
             ids = own.encode(texts)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(texts, pa.string()), pa.array(ids, pa.binary()), pa.array([own.decode(x) for x in ids], pa.string())], ["doc_id", "text", "ids", "decoded"])
 
-    return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id bigint, text string, ids binary, decoded string")
+    return mapped(docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")), run, "doc_id bigint, text string, ids binary, decoded string")
 
 
 def op2(spark, sf_dir: str, model: str | None = None) -> DataFrame:
-    """Ids of all documents and what they decode to."""
-    out = encode(table(spark, sf_dir, "documents"), model or _path("piece_bpe_32k.model"))
+    """Ids of all documents and what they decode to; nulls, repeated rows and long texts as ``encode`` states."""
+    out = encode(table(spark, sf_dir, "documents"), model or public_tokenizer("piece_bpe_32k.model"))
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("round_trip"))
