@@ -110,7 +110,9 @@ def write_ids(docs: DataFrame, tokenizer: str, end: int = END, key: str = "doc_i
     """Files of the ids of all documents in ascending doc_id order: ``(part, file, n_ids, content)``.
 
     Rows are dealt to ranges of doc_id and sorted there, so parts and files follow each
-    other in order. Null ids come first; equal ids are ordered by text. A null text has the end id alone.
+    other in order. Null ids come first; equal ids are ordered by a hash of the text, repeated rows are documents of their own. A null text has the end
+    id alone. A file is closed after ``FILE_IDS`` ids and holds whole documents, so a task holds one file, or one very long document. Other columns
+    play no part; an empty table makes no files.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,5 +173,5 @@ def read_ids(files: DataFrame) -> DataFrame:
 
 
 def op9(spark, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
-    """Ids of all documents, written as files in the shared folder and read back."""
+    """Ids of all documents, written as files in the shared folder and read back; nulls, repeated rows and long texts as ``write_ids`` states."""
     return read_ids(stored(write_ids(table(spark, sf_dir, "documents"), tokenizer or public_tokenizer("word_bpe_49k.json")), "ids"))

@@ -150,5 +150,5 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END,
 
 
 def op4(spark, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
-    """All documents in windows of 2048 ids."""
+    """All documents in windows of 2048 ids; nulls, repeated rows and long texts as ``pack`` states."""
     return pack(table(spark, sf_dir, "documents"), tokenizer or public_tokenizer("byte_bpe_50k.json"))

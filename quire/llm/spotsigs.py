@@ -68,7 +68,8 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
     After the last comes the first. Null ids come before all others, rows that share an id are
     ordered by a hash of their text. Documents are dealt to ranges of ids, in each of which a window looks
-    ahead; only the first document of each range crosses to the range before it.
+    ahead; only the first document of each range crosses to the range before it. Rows that share one id lie in one range. Other columns
+    play no part; an empty table gives an empty table.
     """
     spark = docs.sparkSession
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -118,7 +119,10 @@ def similar(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
-    """Fingerprints of all documents and of their edited texts, with the likeness to these and to the next document."""
+    """Fingerprints of all documents and of their edited texts, with the likeness to these and to the next document.
+
+    Nulls and repeated ids as ``with_next`` states; texts are whole, and a row takes a few times the size of its text. Texts without words have the empty set.
+    """
     met = with_next(table(spark, sf_dir, "documents"))
     n = F.length("text")
     k = (n / 4).cast("int")
