@@ -153,8 +153,12 @@ def a11_outside(spark, d):
 
 
 def written(spark, name: str) -> str:
-    """A new path in the folder that the cluster shares; a temporary folder only where none is set, as in tests."""
-    home = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="quire-files-")
+    """A new path in the folder that the cluster shares; a temporary folder only on a single machine where none is set, as in tests."""
+    home = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not home:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        home = tempfile.mkdtemp(prefix="quire-files-")
     return f"{home.rstrip('/')}/quire-{name}-{uuid.uuid4().hex}"
 
 

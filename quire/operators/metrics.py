@@ -19,10 +19,11 @@ def intersections(pred: DataFrame, gt: DataFrame, label_distance: int = 0) -> Da
     return met.groupBy("page_id", "pred_label", "gt_label").agg(F.sum(shared).alias("inter"))
 
 
-def pair_metrics(pred: DataFrame, gt: DataFrame, label_distance: int = 0) -> DataFrame:
-    """Intersection, union, precision, recall and IoU of all pairs that share pixels."""
-    a = S.areas(pred).select("page_id", F.col("label").alias("pred_label"), F.col("area").alias("a"))
-    b = S.areas(gt).select("page_id", F.col("label").alias("gt_label"), F.col("area").alias("b"))
+def pair_metrics(pred: DataFrame, gt: DataFrame, label_distance: int = 0, areas: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Intersection, union, precision, recall and IoU of all pairs that share pixels; ``areas`` of both maps, where they are at hand."""
+    a, b = areas or (S.areas(pred), S.areas(gt))
+    a = a.select("page_id", F.col("label").alias("pred_label"), F.col("area").alias("a"))
+    b = b.select("page_id", F.col("label").alias("gt_label"), F.col("area").alias("b"))
     met = intersections(pred, gt, label_distance).join(a, ["page_id", "pred_label"]).join(b, ["page_id", "gt_label"])
     i, u = F.col("inter"), F.col("a") + F.col("b") - F.col("inter")
     return met.select("page_id", "pred_label", "gt_label", "inter", u.alias("uni"), (i / F.col("a")).alias("precision"), (i / F.col("b")).alias("recall"), (i / u).alias("iou"))
@@ -34,8 +35,8 @@ def best_matches(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("page_id", "pred_label").agg(best.alias("m")).select("page_id", "pred_label", "m.*")
 
 
-def _labels(spans: DataFrame, name: str) -> DataFrame:
-    return spans.select("page_id", "label").distinct().groupBy("page_id").agg(F.count("*").alias(name))
+def _labels(areas: DataFrame, name: str) -> DataFrame:
+    return areas.groupBy("page_id").agg(F.count("*").alias(name))
 
 
 def _grid(spark, thresholds: list[float]) -> DataFrame:
@@ -50,8 +51,9 @@ def page_counts(pred: DataFrame, gt: DataFrame, thresholds: list[float], method:
     highest such true label, or with ``claim="best"`` the one of highest IoU. Thresholds are a small list, sent to every task after the pixel join.
     """
     grid = F.broadcast(_grid(pred.sparkSession, thresholds))
-    pairs = pair_metrics(pred, gt, label_distance)
-    totals = _labels(pred, "n_pred").join(_labels(gt, "n_gt"), "page_id", "left").fillna(0, ["n_gt"])
+    areas = S.areas(pred), S.areas(gt)  # one shuffle each, for the pairs and the counts of labels
+    pairs = pair_metrics(pred, gt, label_distance, areas)
+    totals = _labels(areas[0], "n_pred").join(_labels(areas[1], "n_gt"), "page_id", "left").fillna(0, ["n_gt"])
     base = totals.crossJoin(grid)
     if method == "icdar":
         best = best_matches(pairs).crossJoin(grid)
