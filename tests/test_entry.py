@@ -3,6 +3,7 @@
 import math
 import os
 
+import pandas as pd
 import pytest
 
 from quire.jobs import catalogue, curation, training  # noqa: F401
@@ -11,7 +12,7 @@ DIR = "/root/testdata/sf0.001"
 
 
 def rows(frame, columns):
-    clean = lambda v: None if v is None or (isinstance(v, float) and math.isnan(v)) else (round(float(v), 9) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v))
+    clean = lambda v: None if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)) else (round(float(v), 9) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v))
     return sorted((tuple(clean(v) for v in r) for r in frame[columns].astype(object).itertuples(index=False)), key=repr)
 
 
