@@ -19,6 +19,7 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     """``df.mapInArrow`` with batches that stay small whatever the rows hold; the session keeps these two settings."""
 
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _enter(run.__qualname__)
         yield from run(batches)
         pa.default_memory_pool().release_unused()
 
@@ -28,12 +29,19 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 
 
 _held: dict = {}
+_running: list[str] = []
+
+
+def _enter(operator: str) -> None:
+    """A worker that goes on to another operator lets go of what it held for the one before."""
+    if _running != [operator]:
+        _held.clear()
+        _running[:] = [operator]
 
 
 def held(name: object, make: Callable[[], object]) -> object:
-    """The worker's object of this name. Those of other names are let go, so a worker that goes on to another operator keeps one cache."""
+    """The worker's object of this name, kept over the tasks of one operator."""
     if name not in _held:
-        _held.clear()
         _held[name] = make()
     return _held[name]
 

@@ -18,7 +18,7 @@ import numpy as np
 from .common import chunked, held
 
 #: Bytes of a worker's cache, and what an entry takes besides its piece and ids.
-CACHE_BYTES, ENTRY = 80 << 20, 170
+CACHE_BYTES, ENTRY = 140 << 20, 170
 _TOGETHER = 64
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -94,21 +94,16 @@ class PieceEncoder:
         now = dict(zip(new, self._together(new)))
         first = dict(zip(firsts, self._alone(firsts)))
         ends = dict(zip(odd, self._alone(list(odd.values()))))
+        known.update(now)
+        self.first.update(first)
+        get, heads = known.__getitem__, [self.first[h] for h in heads]
+        out = [h + b"".join(map(get, own)) + ends.get(n, b"") for n, (h, own) in enumerate(zip(heads, parts))]
         if self.size < CACHE_BYTES:
-            known.update(now)
-            self.size += weight(now)
+            self.size += weight(now) + weight(first)
         else:
-            known = Either(known, now)
-        if self.size < CACHE_BYTES:
-            self.first.update(first)
-            self.size += weight(first)
-            first = self.first
-        else:
-            first = Either(self.first, first)
-        get = known.__getitem__
-        if ends:
-            return [first[h] + b"".join(map(get, own)) + ends.get(n, b"") for n, (h, own) in enumerate(zip(heads, parts))]
-        return [first[h] + b"".join(map(get, own)) for h, own in zip(heads, parts)]
+            drop(known, now)
+            drop(self.first, first)
+        return out
 
 
 def weight(entries: dict[str, bytes]) -> int:
@@ -116,15 +111,10 @@ def weight(entries: dict[str, bytes]) -> int:
     return ENTRY * len(entries) + sum(map(len, entries)) + sum(map(len, entries.values()))
 
 
-class Either(dict):
-    """Two mappings read as one."""
-
-    def __init__(self, a: dict, b: dict):
-        super().__init__(b)
-        self.a = a
-
-    def __missing__(self, key: str) -> bytes:
-        return self.a[key]
+def drop(entries: dict[str, bytes], late: dict[str, bytes]) -> None:
+    """Take out again what a full cache has no room for."""
+    for name in late:
+        del entries[name]
 
 
 def encoder(path: str, spaced: bool) -> PieceEncoder:

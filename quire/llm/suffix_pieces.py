@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held, mapped, public_tokenizer, slices, table
-from .encoding import CACHE_BYTES, Either, weight
+from .encoding import CACHE_BYTES, drop, weight
 
 MARK = "▁"
 #: Characters that are indexed together.
@@ -254,14 +254,15 @@ class Encoder:
             if w is not None:
                 group.append(w)
                 size += len(w) + 1
+        known.update(now)
+        known.update(long)
+        out = [b"".join(map(known.__getitem__, own)) for own in cut]
+        drop(known, long)
         if self.size < CACHE_BYTES:
-            known.update(now)
             self.size += weight(now)
         else:
-            known = Either(known, now)
-        if long:
-            known = Either(known, long)
-        return [b"".join(map(known.__getitem__, own)) for own in cut]
+            drop(known, now)
+        return out
 
     def decode(self, ids: bytes) -> str:
         """The text of these ids: pieces joined, marks as spaces, the space in front dropped."""
