@@ -277,7 +277,7 @@ def rank(docs: DataFrame, items: DataFrame, k: int = 10, key: str = "doc_id", te
             names.append(Row(query=number, item_id=row.item_id))
             number += 1
         mine = spark.createDataFrame(names, "query bigint, item_id bigint")
-        wanted = dfs if few else dfs.join(asked.join(mine.select("item_id"), F.expr("item_id <=> item_id")).select(F.explode("terms").alias("term")).distinct(), "term")
+        wanted = dfs if few else dfs.join(spark.createDataFrame([(t,) for t in sorted({t for _, terms in queries for t in terms})], "term string"), "term")
         weights = {r.term: math.floor(1000 * math.log((2 * sums.docs + 2) / (2 * r.df + 1))) for r in wanted.toLocalIterator()}
         met = search(shards, queries, weights, sums.docs, sums.tokens, k)
         ranked = met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
