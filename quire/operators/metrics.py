@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import spans as S
@@ -119,39 +119,82 @@ def full_sweep(runs: DataFrame, gt: DataFrame, box_thrs: list[float], mask_thrs:
 
     Each detection's mask is a predicted line of its own; masks that touch are to be merged before (``raster.components``).
     Lines match as in ``page_counts`` (icdar); pages without scores at a threshold leave its sums.
-    One pixel join serves all thresholds: intersections are summed by the number of mask thresholds they reach, matches
-    of a page by the numbers of box and score thresholds, and the grid meets only those counts.
+    One pixel join serves all thresholds: intersections are summed by the number of mask thresholds they reach. Matches and pages then say only
+    where the scores change along the box and IoU thresholds (``_changes``); these changes are summed over all
+    pages, and two running sums over the grid make them scores. No page meets the grid.
     """
-    spark, boxes, ious = runs.sparkSession, sorted(box_thrs), sorted(iou_thrs)
-    masks = kept_masks(runs, box_thrs, mask_thrs, least)
-    step = F.size(F.filter(_doubles(mask_thrs), lambda t: t <= F.col("mask_score")))
+    boxes, ious, levels = sorted(box_thrs), sorted(iou_thrs), sorted(mask_thrs)
+    masks = kept_masks(runs, boxes, levels, least)
+    step = F.size(F.filter(_doubles(levels), lambda t: t <= F.col("mask_score")))
     p = runs.filter(F.col("score") >= boxes[0]).select("page_id", "y", "det_id", F.col("x0").alias("p0"), F.col("x1").alias("p1"), step.alias("step")).filter("step > 0")
     g = gt.select("page_id", "y", F.col("label").alias("gt_label"), F.col("x0").alias("g0"), F.col("x1").alias("g1"))
     met = p.join(g, ["page_id", "y"]).filter((F.col("p0") <= F.col("g1")) & (F.col("g0") <= F.col("p1")))
     shared = met.groupBy("page_id", "det_id", "gt_label", "step").agg(F.sum(F.least("p1", "g1") - F.greatest("p0", "g0") + 1).alias("n"))
-    pairs = _down(shared, ["page_id", "det_id", "gt_label"], mask_thrs, "inter").join(masks, ["page_id", "det_id", "mask_thr"])
-    pairs = pairs.join(S.areas(gt).select("page_id", F.col("label").alias("gt_label"), F.col("area").alias("b")), ["page_id", "gt_label"])
+    areas = S.areas(gt)
+    pairs = _down(shared, ["page_id", "det_id", "gt_label"], levels, "inter").join(areas.select("page_id", F.col("label").alias("gt_label"), F.col("area").alias("b")), ["page_id", "gt_label"])
+    pairs = masks.join(pairs, ["page_id", "det_id", "mask_thr"], "left")
     i = F.col("inter")
-    best = pairs.groupBy("page_id", "mask_thr", "det_id").agg(
-        F.min_by(F.struct((i / F.col("area")).alias("p"), (i / F.col("b")).alias("r")), F.struct((-(i / (F.col("area") + F.col("b") - i))).alias("iou"), "gt_label")).alias("m"), F.max("level").alias("level"))
     reach = lambda x: F.size(F.filter(_doubles(ious), lambda t: t <= x))
-    one = lambda frame, kind, *more: frame.select("page_id", F.lit(kind).alias("kind"), "mask_thr", "level", *more)
-    none, each = [F.lit(0).alias("p"), F.lit(0).alias("r")], F.lit(1).cast("bigint").alias("n")
-    true = S.areas(gt).groupBy("page_id").agg(F.count("*").alias("n"))
-    pages = masks.groupBy("page_id", "mask_thr").agg(F.max("level").alias("level")).join(true, "page_id")
-    touched = pairs.groupBy("page_id", "mask_thr", "gt_label").agg(F.max("level").alias("level"))
-    counts = one(best, "met", reach(F.col("m.p")).alias("p"), reach(F.col("m.r")).alias("r"), each)
-    for frame, kind, n in ((masks, "mask", each), (touched, "touched", each), (pages, "true", F.col("n"))):
-        counts = counts.unionByName(one(frame, kind, *none, n.alias("n")))
-    counts = counts.groupBy("page_id", "kind", "mask_thr", "level", "p", "r").agg(F.sum("n").alias("n"))
-    grid = spark.createDataFrame([(b + 1, float(x), t + 1, float(y)) for b, x in enumerate(boxes) for t, y in enumerate(ious)], "b int, box_thr double, t int, iou_thr double")
-    met = counts.join(F.broadcast(grid), F.col("level") >= F.col("b"))
-    of = lambda kind, test=F.lit(True): F.sum(F.when((F.col("kind") == kind) & test, F.col("n")).otherwise(0))
-    p, r = F.col("p") >= F.col("t"), F.col("r") >= F.col("t")
-    out = met.groupBy("page_id", "box_thr", "mask_thr", "iou_thr").agg(
-        of("met", p & r).alias("tp"), (of("mask") - of("met", p)).alias("fp"), (of("true") - of("touched") + of("met", ~r)).alias("fn"))
-    kept = out.filter((F.col("tp") + F.col("fp") > 0) & (F.col("tp") + F.col("fn") > 0))
-    return rates(kept.groupBy("box_thr", "mask_thr", "iou_thr").agg(F.count("*").alias("pages"), *[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]))
+    found = F.when(i.isNotNull(), F.struct(reach(i / F.col("area")).alias("p"), reach(i / F.col("b")).alias("r")))
+    best = pairs.groupBy("page_id", "mask_thr", "det_id").agg(F.max("level").alias("level"), F.min_by(found, F.struct((-(i / (F.col("area") + F.col("b") - i))).alias("iou"), "gt_label")).alias("m"), F.collect_set("gt_label").alias("touched"))
+    pages = best.groupBy("page_id", "mask_thr").agg(F.collect_list(F.struct("level", "m", "touched")).alias("masks"))
+    pages = pages.join(_labels(areas, "n_gt"), "page_id")
+    changes = _changes(pages, len(ious)).groupBy("mask_thr", "level", "step").agg(*[F.sum(c).alias(c) for c in _COUNTS])
+    return rates(_grid_sums(changes, boxes, levels, ious).filter("pages > 0"))
+
+
+_COUNTS = ("pages", "tp", "fp", "fn")
+
+
+def _changes(pages: DataFrame, top: int) -> DataFrame:
+    """(mask_thr, level, step, pages, tp, fp, fn): what each page adds at all box thresholds up to ``level`` and IoU thresholds up to ``step``.
+
+    ``pages`` has (mask_thr, n_gt, masks), each mask with the number of box thresholds it reaches (``level``), the numbers of IoU thresholds that its best match's precision
+    and recall reach (``m.p``, ``m.r``; null if nothing is met), and the true labels it touches. A page has no scores, and is taken out again, where no mask is right and either
+    all are met by recall too low alone (nothing counts as predicted), or all lines are touched and met by precision too low alone (nothing counts as true).
+    With the masks from one level up, either is a stretch of IoU thresholds, so a rectangle for each of the page's own levels.
+    """
+    one = lambda level, step, *n: F.struct(level.cast("int").alias("level"), (step if not isinstance(step, int) else F.lit(step)).cast("int").alias("step"), *[(x if not isinstance(x, int) else F.lit(x)).cast("bigint").alias(c) for c, x in zip(_COUNTS, n)])
+
+    def of_mask(x):
+        m, level = x["m"], x["level"]
+        hit = F.array(one(level, F.least(m["p"], m["r"]), 0, 1, 0, 0), one(level, top, 0, 0, 1, 1), one(level, m["p"], 0, 0, -1, 0), one(level, m["r"], 0, 0, 0, -1))
+        return F.when(m.isNotNull(), hit).otherwise(F.array(one(level, top, 0, 0, 1, 0)))
+
+    own = pages.select("mask_thr", "n_gt", "masks", F.array_sort(F.array_distinct(F.col("masks.level"))).alias("levels"))
+    own = own.withColumn("first", F.transform(F.array_distinct(F.flatten("masks.touched")), lambda g: F.array_max(F.transform(F.filter("masks", lambda x: F.array_contains(x["touched"], g)), lambda x: x["level"]))))
+    highest = F.element_at("levels", -1)
+
+    def rectangle(level, at):
+        below = F.when(at > 0, F.get("levels", at - 1)).otherwise(0)
+        live = F.filter("masks", lambda x: x["level"] >= level)
+        met = F.filter(live, lambda x: x["m"].isNotNull())
+        side = lambda c: F.transform(met, lambda x: x["m"][c])
+        n, touched = F.size(live), F.size(F.filter("first", lambda x: x >= level))
+        low_r, all_p, low_p, all_r = F.array_max(side("r")), F.array_min(side("p")), F.array_max(side("p")), F.array_min(side("r"))
+        gone = lambda after, upto, fp, fn: F.array(*[one(b, t, -s, 0, -fp * s, -fn * s) for b, t, s in ((level, upto, 1), (level, after, -1), (below, upto, -1), (below, after, 1))])
+        none = F.array().cast(f"array<struct<level:int,step:int,{','.join(f'{c}:bigint' for c in _COUNTS)}>>")
+        unpredicted = F.when((F.size(met) == n) & (low_r < all_p), gone(low_r, all_p, F.lit(0), F.col("n_gt") - touched + n)).otherwise(none)
+        untrue = F.when((touched == F.col("n_gt")) & (F.size(met) > 0) & (low_p < all_r), gone(low_p, all_r, n, F.lit(0))).otherwise(none)
+        return F.concat(unpredicted, untrue)
+
+    parts = [
+        F.flatten(F.transform("masks", of_mask)), F.array(one(highest, top, 1, 0, 0, F.col("n_gt"))),
+        F.transform("first", lambda level: one(level, top, 0, 0, 0, -1)), F.flatten(F.transform("levels", rectangle)),
+    ]
+    return own.select("mask_thr", F.inline(F.concat(*parts))).filter("level > 0 AND step > 0")
+
+
+def _grid_sums(changes: DataFrame, boxes: list[float], masks: list[float], ious: list[float]) -> DataFrame:
+    """Sums (box_thr, mask_thr, iou_thr, pages, tp, fp, fn) of all changes at a level and step or beyond, for each cell of the grid."""
+    axis = lambda values, name, k: F.posexplode(_doubles(values)).alias(k, name)
+    cells = changes.sparkSession.range(1).select(axis(boxes, "box_thr", "k")).select("box_thr", (F.col("k") + 1).alias("level"), F.explode(_doubles(masks)).alias("mask_thr"))
+    cells = cells.select("*", axis(ious, "iou_thr", "k")).select("box_thr", "mask_thr", "iou_thr", "level", (F.col("k") + 1).alias("step"))
+    out = cells.join(changes, ["mask_thr", "level", "step"], "left").fillna(0, list(_COUNTS))
+    for along, other in (("level", "step"), ("step", "level")):
+        by = Window.partitionBy("mask_thr", other).orderBy(F.col(along).desc()).rowsBetween(Window.unboundedPreceding, 0)
+        out = out.withColumns({c: F.sum(c).over(by) for c in _COUNTS})
+    return out.select("box_thr", "mask_thr", "iou_thr", *_COUNTS)
 
 
 def mean_precision(scores: DataFrame) -> DataFrame:
