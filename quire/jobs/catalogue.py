@@ -11,7 +11,7 @@ from quire.operators import datasets as D
 from quire.operators import documents as DOC
 from quire.operators import metrics as M
 from quire.operators import spans as S
-from quire.sources import files
+from quire.sources import files, tables
 from quire.sources import fixtures as X
 
 IOUS = [0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]
@@ -30,7 +30,8 @@ def query(name: str, sql: str | None = None):
 
 
 def maps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows = X.numbered(spark, d)
+    """Runs of predicted and true lines; dealt by page once, when lines are numbered, and not again within pages."""
+    rows = X.numbered(tables.paged(spark), d)
     return S.rectangles(X.pred_boxes(rows)), S.rectangles(X.gt_boxes(rows))
 
 
@@ -181,7 +182,7 @@ _DET = f"WITH {X.SQL}, det AS (SELECT l_orderkey AS page_id, n AS det_id, 1 - l_
 
 def detections(spark, d) -> DataFrame:
     """Runs of scored masks, one for each line."""
-    rows = X.numbered(spark, d).selectExpr("l_orderkey AS page_id", "n AS det_id", "1 - l_discount * 4 AS score", "0.3 + l_tax * 8 AS base", "int(20 + l_suppkey % 30) AS l", "int(170 + l_suppkey % 30 + l_partkey % 200) AS r", "int(30 * n) AS t", "int(30 * n + 12 + q % 10) AS b")
+    rows = X.numbered(tables.paged(spark), d).selectExpr("l_orderkey AS page_id", "n AS det_id", "1 - l_discount * 4 AS score", "0.3 + l_tax * 8 AS base", "int(20 + l_suppkey % 30) AS l", "int(170 + l_suppkey % 30 + l_partkey % 200) AS r", "int(30 * n) AS t", "int(30 * n + 12 + q % 10) AS b")
     return rows.select("page_id", "det_id", "score", F.explode(F.sequence("t", "b")).alias("y"), F.col("l").alias("x0"), F.col("r").alias("x1"), "base").withColumn("mask_score", F.col("base") + F.col("y") % 5 * 0.02).drop("base")
 
 

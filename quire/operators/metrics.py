@@ -39,35 +39,37 @@ def _labels(areas: DataFrame, name: str) -> DataFrame:
     return areas.groupBy("page_id").agg(F.count("*").alias(name))
 
 
-def _grid(spark, thresholds: list[float]) -> DataFrame:
-    return spark.createDataFrame([(float(t),) for t in thresholds], "iou_thr double")
-
-
 def page_counts(pred: DataFrame, gt: DataFrame, thresholds: list[float], method: str = "icdar", label_distance: int = 0, claim: str = "last") -> DataFrame:
     """(page_id, iou_thr, tp, fp, fn) of every page with predictions.
 
     ``icdar``: a predicted label's best match is right if precision and recall reach the threshold. Labels that
     touch nothing count as false. ``iou``: a predicted label is right if an IoU exceeds the threshold, and claims the
-    highest such true label, or with ``claim="best"`` the one of highest IoU. Thresholds are a small list, sent to every task after the pixel join.
+    highest such true label, or with ``claim="best"`` the one of highest IoU. Pairs meet once, a row a page then holds the matches of its labels, and each threshold counts them there.
     """
-    grid = F.broadcast(_grid(pred.sparkSession, thresholds))
     areas = S.areas(pred), S.areas(gt)  # one shuffle each, for the pairs and the counts of labels
     pairs = pair_metrics(pred, gt, label_distance, areas)
     totals = _labels(areas[0], "n_pred").join(_labels(areas[1], "n_gt"), "page_id", "left").fillna(0, ["n_gt"])
-    base = totals.crossJoin(grid)
+    by_iou = F.struct((-F.col("iou")).alias("i"), "gt_label")
+    if method == "icdar":
+        best = pairs.groupBy("page_id", "pred_label").agg(F.min_by(F.struct("precision", "recall"), by_iou).alias("m"), F.collect_set("gt_label").alias("touched"))
+        pages = best.groupBy("page_id").agg(F.collect_list("m").alias("own"), F.array_size(F.array_distinct(F.flatten(F.collect_list("touched")))).alias("gt_met"))
+    else:
+        pages = pairs.groupBy("page_id", "pred_label").agg(F.collect_list(F.struct((-F.col("iou")).alias("i"), "gt_label")).alias("m")).groupBy("page_id").agg(F.collect_list("m").alias("own"))
+    out = totals.join(pages, "page_id", "left").withColumn("own", F.coalesce("own", F.array().cast(pages.schema["own"].dataType)))
+    out = out.select("*", F.explode(_doubles(thresholds)).alias("iou_thr"))
+    many = lambda test: F.size(F.filter("own", test))
+    thr = F.col("iou_thr")
     if method == "icdar":
-        best = best_matches(pairs).crossJoin(grid)
-        p, r = F.col("precision") >= F.col("iou_thr"), F.col("recall") >= F.col("iou_thr")
-        hit = best.groupBy("page_id", "iou_thr").agg(F.count_if(p & r).alias("tp"), F.count_if(~p).alias("bad_p"), F.count_if(~r).alias("bad_r"), F.count("*").alias("met"))
-        touched = pairs.groupBy("page_id").agg(F.countDistinct("gt_label").alias("gt_met"))
-        out = base.join(hit, ["page_id", "iou_thr"], "left").join(touched, "page_id", "left").fillna(0)
-        fp, fn = F.col("n_pred") - F.col("met") + F.col("bad_p"), F.col("n_gt") - F.col("gt_met") + F.col("bad_r")
+        tp = many(lambda m: (m["precision"] >= thr) & (m["recall"] >= thr))
+        fp = F.col("n_pred") - F.size("own") + many(lambda m: m["precision"] < thr)
+        fn = F.col("n_gt") - F.coalesce("gt_met", F.lit(0)) + many(lambda m: m["recall"] < thr)
     else:
-        won = pairs.crossJoin(grid).filter(F.col("iou") > F.col("iou_thr")).groupBy("page_id", "iou_thr", "pred_label").agg((F.max("gt_label") if claim == "last" else F.min_by("gt_label", F.struct((-F.col("iou")).alias("i"), "gt_label"))).alias("claim"))
-        hit = won.groupBy("page_id", "iou_thr").agg(F.count("*").alias("tp"), F.countDistinct("claim").alias("claimed"))
-        out = base.join(hit, ["page_id", "iou_thr"], "left").fillna(0)
-        fp, fn = F.col("n_pred") - F.col("tp"), F.col("n_gt") - F.col("claimed")
-    return out.select("page_id", "iou_thr", F.col("tp").cast("bigint").alias("tp"), fp.cast("bigint").alias("fp"), fn.cast("bigint").alias("fn"))
+        over = lambda m: F.filter(m, lambda x: -x["i"] > thr)
+        chosen = (lambda m: F.array_max(F.transform(over(m), lambda x: x["gt_label"]))) if claim == "last" else (lambda m: F.array_min(over(m))["gt_label"])
+        out = out.withColumn("claims", F.array_compact(F.transform("own", chosen)))
+        tp = F.size("claims")
+        fp, fn = F.col("n_pred") - tp, F.col("n_gt") - F.size(F.array_distinct("claims"))
+    return out.select("page_id", "iou_thr", tp.cast("bigint").alias("tp"), fp.cast("bigint").alias("fp"), fn.cast("bigint").alias("fn"))
 
 
 def rates(counts: DataFrame) -> DataFrame:
