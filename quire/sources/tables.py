@@ -48,8 +48,6 @@ def drop_spans(spark: SparkSession, name: str) -> None:
 
 
 def exchanges(frame: DataFrame) -> list[str]:
-    """What the plan of a frame deals out again: the partitioning of each exchange before any stage has run."""
-    plan = frame._jdf.queryExecution().sparkPlan()
-    whole = frame._jdf.queryExecution().executedPlan().toString()
-    assert plan is not None
-    return [line.split("Exchange ", 1)[1].split(",")[0] if "(" not in line else line.split("Exchange ", 1)[1] for line in whole.splitlines() if "Exchange " in line and "Broadcast" not in line]
+    """The rows that a frame's plan deals out again, each as the text of its exchange; broadcasts are left out."""
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return [line.split("Exchange ", 1)[1] for line in plan.splitlines() if "Exchange " in line and "BroadcastExchange" not in line]
