@@ -271,7 +271,7 @@ def p5(spark, d):
     lines = line_rows(spark, d)
     pages = DOC.nested(region_rows(lines), lines).select("page_id", F.to_json(F.struct("regions")).alias("doc"))
     read = pages.select("page_id", F.from_json("doc", f"regions array<{DOC.REGION}>, lines array<{DOC.LINE}>").alias("x")).select("page_id", "x.*")
-    return DOC.with_text(DOC.flat_lines(read)).select("page_id", "line_idx", "region_id", "id", "x_height", "text", F.col("coords")[0]["x"].alias("first_x"))
+    return DOC.with_text(DOC.flat_lines(read)).select("page_id", "line_idx", "region_id", "id", F.col("x_height").cast("int").alias("x_height"), "text", F.col("coords")[0]["x"].alias("first_x"))
 
 
 @query("j6_contained_lines", _LINES + " SELECT a.page_id, a.line_idx, b.region_idx FROM lines a JOIN regions b ON a.page_id = b.page_id AND a.l >= b.l AND a.r <= b.r AND a.t >= b.t AND a.b <= b.b")

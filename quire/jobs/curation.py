@@ -186,7 +186,7 @@ def s1(spark, d):
     text(nested).unionByName(text(named)).unionByName(text(old)).write.text(path)
     read = files.read_json(spark, path, lines=True).withColumn("page_id", F.col("image_filename"))
     found = DOC.flat_lines(read).join(read.select("page_id", "image_width", "image_height"), "page_id")
-    return found.select(F.col("page_id").alias("image_filename"), "image_width", "image_height", "line_idx", "region_id", "id", "x_height", "text", F.col("coords")[0]["x"].alias("first_x"), F.array_size("baseline").alias("n_baseline"), F.array_size("centerline").alias("n_centerline"))
+    return found.select(F.col("page_id").alias("image_filename"), "image_width", "image_height", "line_idx", "region_id", "id", F.col("x_height").cast("int").alias("x_height"), "text", F.col("coords")[0]["x"].alias("first_x"), F.array_size("baseline").alias("n_baseline"), F.array_size("centerline").alias("n_centerline"))
 
 
 def _xml(spark, d):

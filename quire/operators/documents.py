@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 POINT = "struct<x:double,y:double>"
-LINE = f"struct<id:string,coords:array<{POINT}>,baseline:array<{POINT}>,x_height:int,text:string>"
+LINE = f"struct<id:string,coords:array<{POINT}>,baseline:array<{POINT}>,x_height:double,text:string>"
 REGION = f"struct<id:string,coords:array<{POINT}>,lines:array<{LINE}>>"
 
 
@@ -83,7 +83,7 @@ def audit(lines: DataFrame) -> DataFrame:
     """One row for each rule a line breaks."""
     rules = {
         "no_id": F.col("id").isNull(), "no_coords": F.col("coords").isNull(), "no_x_height": F.col("x_height").isNull(),
-        "short_baseline": F.coalesce(F.size("baseline") < 2, F.lit(True)), "not_integer": F.coalesce(F.exists("coords", lambda p: (p["x"] % 1 != 0) | (p["y"] % 1 != 0)), F.lit(False)),
+        "short_baseline": F.coalesce(F.size("baseline") < 2, F.lit(True)), "not_integer": F.coalesce(F.exists("coords", lambda p: (p["x"] % 1 != 0) | (p["y"] % 1 != 0)), F.lit(False)) | F.coalesce(F.col("x_height") % 1 != 0, F.lit(False)),
     }
     broken = F.filter(F.array(*[F.when(test, F.lit(name)) for name, test in rules.items()]), lambda x: x.isNotNull())
     return lines.select("page_id", "line_idx", F.explode(broken).alias("rule"))
