@@ -87,6 +87,23 @@ class IdFile:
             i = int(ranks[block]) + inside
         return value
 
+    def take(self, places: np.ndarray) -> np.ndarray:
+        """The ids at these places, each found through the bitmaps and rank directories of its levels."""
+        at, out, live = np.asarray(places, np.int64), np.zeros(len(places), np.int64), np.arange(len(places))
+        wide = RANK_BITS // 8
+        for k, (low, bits, ranks) in enumerate(self.levels):
+            out[live] |= low[at].astype(np.int64) << 8 * k
+            more = (bits[at >> 3] >> (at & 7) & 1).astype(bool)
+            live, at = live[more], at[more]
+            if not len(at):
+                break
+            block = at // RANK_BITS
+            cell = block[:, None] * wide + np.arange(wide)
+            before = np.where(cell < (at >> 3)[:, None], bits[np.minimum(cell, len(bits) - 1)], 0)
+            inside = bits[at >> 3] & ((1 << (at & 7)) - 1).astype(np.uint8)
+            at = ranks[block].astype(np.int64) + np.bitwise_count(before).sum(1, dtype=np.int64) + np.bitwise_count(inside)
+        return out
+
     def all(self) -> np.ndarray:
         """Every id of the file."""
         rest = None
@@ -144,10 +161,10 @@ def write_ids(docs: DataFrame, tokenizer: str, end: int = END, key: str = "doc_i
     return mapped(sorted_docs, run, "part int, file int, n_ids bigint, content binary")
 
 
-def read_ids(files: DataFrame) -> DataFrame:
+def read_ids(files: DataFrame, ends: bool = False) -> DataFrame:
     """``(doc_id, start, n_tokens, ids_crc32)`` of every document in the files.
 
-    ``start`` counts the ids of all documents before it. Only the totals of parts, one row
+    ``ends`` adds each document's ``first_id``, ``middle_id`` and ``last_id``, looked up by their places alone (-1 in a document without ids). ``start`` counts the ids of all documents before it. Only the totals of parts, one row
     for each partition that wrote, meet in one task; file totals are summed within their part.
     """
 
@@ -155,11 +172,15 @@ def read_ids(files: DataFrame) -> DataFrame:
         for batch in batches:
             for n in range(batch.num_rows):
                 part, number = batch.column(0)[n].as_py(), batch.column(1)[n].as_py()
-                rows = [(d, at, len(x), crc32(x.tobytes())) for d, at, x in IdFile(batch.column(2)[n].as_py()).documents()]
+                file = IdFile(batch.column(2)[n].as_py())
+                rows = [(d, at, len(x), crc32(x.tobytes())) for d, at, x in file.documents()]
                 doc, at, size, crc = zip(*rows)
+                start, many = np.array(at, np.int64), np.array(size, np.int64)
+                first, middle, last = ([None] * len(rows),) * 3 if not ends else (np.where(many > 0, file.take(np.where(many > 0, start + k, 0)), -1) for k in (0, many // 2, many - 1))
                 yield pa.RecordBatch.from_pydict({
                     "part": pa.array([part] * len(rows), pa.int32()), "file": pa.array([number] * len(rows), pa.int32()), "doc_id": pa.array(doc, pa.int64()),
                     "at": pa.array(at, pa.int64()), "n_tokens": pa.array(size, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()),
+                    "first_id": pa.array(first, pa.int64()), "middle_id": pa.array(middle, pa.int64()), "last_id": pa.array(last, pa.int64()),
                 })
 
     sizes = files.select("part", "file", "n_ids")
@@ -168,10 +189,10 @@ def read_ids(files: DataFrame) -> DataFrame:
     parts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_start"))
     within = Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.join(parts, "part").select("part", "file", (F.col("part_start") + F.coalesce(F.sum("n_ids").over(within), F.lit(0))).alias("file_start"))
-    docs = mapped(files.select("part", "file", "content"), run, "part int, file int, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint")
-    return docs.join(starts, ["part", "file"]).select("doc_id", (F.col("file_start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    docs = mapped(files.select("part", "file", "content"), run, "part int, file int, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint, first_id bigint, middle_id bigint, last_id bigint")
+    return docs.join(starts, ["part", "file"]).select("doc_id", (F.col("file_start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *["first_id", "middle_id", "last_id"][: 3 * ends])
 
 
 def op9(spark, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     """Ids of all documents, written as files in the shared folder and read back; nulls, repeated rows and long texts as ``write_ids`` states."""
-    return read_ids(stored(write_ids(table(spark, sf_dir, "documents"), tokenizer or public_tokenizer("word_bpe_49k.json")), "ids"))
+    return read_ids(stored(write_ids(table(spark, sf_dir, "documents"), tokenizer or public_tokenizer("word_bpe_49k.json")), "ids"), ends=True)

@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 
 from .common import mapped, slices, stored, table
 
-#: Distinct vectors of a shard, at most about; while there are fewer shards than tasks, shards are smaller, down to ``SMALL``.
-SHARD, SMALL = 65536, 4096
+#: Distinct vectors of a shard, about, whatever the session: recall depends on it, and on the beam.
+SHARD = 8192
 DEGREE = 24
 #: Beam of the queries and of the searches that build a graph.
-BEAM, BUILD_BEAM = 48, 32
+BEAM, BUILD_BEAM = 128, 32
 ALPHA = 1.2
 _BATCH, _EXPAND = 256, 4
 
@@ -191,7 +191,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHA
     some = salted.groupBy("v", "salt").agg(first_ids.alias("ids"))
     classes = stored(some.groupBy("v").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids")), "vectors")
     tasks, n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), classes.count()
-    shards = max(1, -(-n // shard), min(tasks, -(-n // min(SMALL, shard))))
+    shards = max(1, -(-n // shard))
     size = F.size("v").alias("dims")
     points = classes.select(size, F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int").alias("shard"), F.lit(None).cast("bigint").alias("query"), "v", "ids")
     asked = queries.filter(_usable(vector) & F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("query"), F.col(vector).cast("array<double>").alias("v")).dropDuplicates(["query", "v"])

@@ -3,8 +3,9 @@
 A document's ids are first cut into whole windows; what is left is placed online: of all
 fill levels at which partially filled windows wait, and the empty window, the one is taken
 that makes the sum of squares of the levels' counts least. The counts live in a level
-array. When a task's rows end, the windows still open give their pieces, cut freely, to
-the fuller ones; only the last is short, and it is cut at powers of two, where windows take no padding.
+array. Windows that no later document fits into would pile up, so when more than ``OPEN`` of them wait, the emptier ones
+give their pieces, cut freely, to the fuller ones until half as many are left. When a task's rows end, the rest is closed in
+that way; only the last window is short, and it is cut at powers of two, where windows take no padding.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from .encoding import encoder
 
 WINDOW = 2048
 END = 1
+#: Windows that may wait at once.
+OPEN = 1024
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
@@ -32,7 +35,7 @@ class LevelPacker:
     def __init__(self, window: int = WINDOW):
         self.window, self.counts = window, np.zeros(window + 1, np.int64)
         self.waiting: list[list[list]] = [[] for _ in range(window + 1)]
-        self.sequences = 0
+        self.sequences = self.open = 0
 
     def level(self, size: int) -> int:
         """The fill level to put ``size`` ids on: least sum of squares, fuller first."""
@@ -64,18 +67,27 @@ class LevelPacker:
         h = self.level(size)
         pieces = self.waiting[h].pop() if h else []
         self.counts[h] -= bool(h)
+        self.open -= bool(h)
         pieces.append((item, at, ids[4 * at :], total))
         if h + size == w:
             yield from self._done(pieces)
         else:
-            self.waiting[h + size].append(pieces)
-            self.counts[h + size] += 1
+            self._wait(h + size, pieces)
+            if self.open > OPEN:
+                yield from self._merged(OPEN // 2)
 
-    def close(self) -> Iterator[tuple]:
-        """Fill the fuller open windows from the emptier ones; yields all that is left."""
+    def _wait(self, h: int, pieces: list) -> None:
+        self.waiting[h].append(pieces)
+        self.counts[h] += 1
+        self.open += 1
+
+    def _merged(self, keep: int) -> Iterator[tuple]:
+        """Fill the fuller open windows from the emptier ones until ``keep`` are left."""
         left = [(h, p) for h in range(self.window, -1, -1) for p in self.waiting[h]]
+        self.waiting = [[] for _ in range(self.window + 1)]
+        self.counts[:] = self.open = 0
         lo, hi = 0, len(left) - 1
-        while lo < hi:
+        while hi - lo >= keep:
             h, pieces = left[lo]
             given, source = left[hi]
             while h < self.window and source:
@@ -93,8 +105,14 @@ class LevelPacker:
                 lo += 1
             if not source:
                 hi -= 1
-        if lo <= hi and left[lo][1]:
-            yield from self._tail(left[lo][1])
+        for h, pieces in left[lo : hi + 1]:
+            self._wait(h, pieces)
+
+    def close(self) -> Iterator[tuple]:
+        """All that is left, whole windows first."""
+        yield from self._merged(1)
+        for last in [p for level in self.waiting for p in level]:
+            yield from self._tail(last)
 
     def _tail(self, pieces: list) -> Iterator[tuple]:
         pieces = pieces[::-1]
@@ -117,8 +135,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END,
 
     Every task packs the rows of its own partition; no row moves. A null or empty text
     has the end id alone, a very long one many windows. Null ids, repeated rows and other columns are harmless: each row is a
-    document of its own. A task holds the ids of its open windows, at most one for each fill level that the
-    packing keeps apart, and of one batch. ``ids`` adds the pieces' ids as binary. An empty table gives
+    document of its own. A task holds the ids of at most ``OPEN`` open windows and of one batch. ``ids`` adds the pieces' ids as binary. An empty table gives
     an empty table. Window numbers hold the partition number, so they never clash.
     """
 

@@ -33,6 +33,8 @@ TOGETHER = 400_000
 LONG = 256
 _CUT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _NONE = 1 << 30
+#: Pairs of pieces whose verdict a worker keeps.
+PAIRS = 250_000
 
 
 @dataclass
@@ -110,7 +112,7 @@ class Encoder:
         self.low = self._keys([model.pieces[i] for i in own], b"\0\0")
         self.high = self._keys([model.pieces[i] for i in own], b"\xff\xff")
         self.joins = {model.pieces[i]: i for i in own}
-        self.pairs: dict[int, bool] = {}
+        self.pairs: dict[int, bool] = {}  # at most PAIRS, then begun anew
         self.known: dict[str, bytes] = {}
         self.size = 0
         spelled = [p.encode().replace(MARK.encode(), b" ") for p in model.pieces]
@@ -150,6 +152,8 @@ class Encoder:
         ask = np.flatnonzero(~out)
         key, back = np.unique(before[ask].astype(np.int64) << 32 | after[ask], return_inverse=True)
         known, keys = self.pairs, key.tolist()
+        if len(known) > PAIRS:
+            known.clear()
         for k in [k for k, got in zip(keys, map(known.get, keys)) if got is None]:
             known[k] = self._apart(k >> 32, k & 0xFFFFFFFF)
         out[ask] = np.fromiter(map(known.__getitem__, keys), bool, len(keys))[back]
@@ -189,6 +193,8 @@ class Encoder:
                     key = b << 32 | p
                     apart = known.get(key)
                     if apart is None:
+                        if len(known) > PAIRS:
+                            known.clear()
                         apart = known[key] = self._apart(b, p)
                     if not apart:
                         continue
