@@ -71,15 +71,15 @@ def estimate_errors(counts: DataFrame) -> DataFrame:
     return counts.select("page_id", d("est").alias("est_err"), d("pred").alias("pred_err"), F.try_divide(d("est"), F.col("gt")).alias("est_rel"), F.try_divide(d("pred"), F.col("gt")).alias("pred_rel"), F.try_divide(F.least("est", "gt"), F.greatest("est", "gt")).alias("fold"))
 
 
-def work_list(given: DataFrame, listed: DataFrame, marked: DataFrame, layout: str = ".layout.json", output: str = ".lines.json") -> DataFrame:
-    """(image, layout_path, output_path), sorted: given images, and listed ones whose folder has the marker file.
+def work_list(given: DataFrame, listed: DataFrame, marked: DataFrame, layout: str = ".layout.json", output: str = ".lines.json", label: str | None = None) -> DataFrame:
+    """(image, layout_path, output_path), sorted: given images, and listed ones whose folder has the marker file; ``label``, a suffix, adds ``label_path``.
 
     ``given`` and ``listed`` have a ``path`` column, ``marked`` a ``folder`` column; repeated paths count once.
     """
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
     own = given.select("path").union(listed.select("path").withColumn("folder", folder).join(marked, "folder", "left_semi").select("path")).distinct()
     stem = F.regexp_replace("path", r"\.[^./]*$", "")
-    return own.select(F.col("path").alias("image"), F.concat(stem, F.lit(layout)).alias("layout_path"), F.concat(stem, F.lit(output)).alias("output_path")).orderBy("image")
+    return own.select(F.col("path").alias("image"), F.concat(stem, F.lit(layout)).alias("layout_path"), F.concat(stem, F.lit(output)).alias("output_path"), *([F.concat(stem, F.lit(label)).alias("label_path")] if label else [])).orderBy("image")
 
 
 def count_rows(pages: DataFrame, gt: DataFrame, earlier: DataFrame, estimates: DataFrame, predictions: DataFrame, boxes: DataFrame | None = None) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -55,3 +58,48 @@ def foreground(images: DataFrame, channel: int = 2) -> DataFrame:
     known = images.join(otsu(histogram(images)), "image")
     runs = F.pandas_udf(_dark, "array<struct<y:int,x0:int,x1:int>>")("data", "height", "width", "channels", F.lit(channel), "threshold")
     return known.select("image", F.inline(runs))
+
+
+def run_pixels(images: DataFrame, spans: DataFrame) -> DataFrame:
+    """(image, label, y, x0, x1, pixels): the bytes of each run (image, label, y, x0, x1), cut from the image's rows.
+
+    Runs are clipped to the image; those beside it have no row. An image's bytes are joined once, to all of its runs together.
+    """
+    own = spans.groupBy("image").agg(F.collect_list(F.struct("label", "y", "x0", "x1")).alias("runs"))
+    met = images.join(own, "image").withColumns({"w": F.col("width"), "c": F.col("channels")})
+    clipped = F.transform("runs", lambda r: F.struct(r["label"].alias("label"), r["y"].alias("y"), F.greatest(r["x0"], F.lit(0)).alias("x0"), F.least(r["x1"], F.col("w") - 1).alias("x1")))
+    shown = F.filter(clipped, lambda r: (r["x0"] <= r["x1"]) & (r["y"] >= 0) & (r["y"] < F.col("height")))
+    cut = lambda r: F.substring(F.col("data"), (r["y"] * F.col("w") + r["x0"]) * F.col("c") + 1, (r["x1"] - r["x0"] + 1) * F.col("c"))
+    return met.select("image", F.inline(F.transform(shown, lambda r: F.struct(r["label"].alias("label"), r["y"].alias("y"), r["x0"].alias("x0"), r["x1"].alias("x1"), cut(r).alias("pixels")))))
+
+
+def line_crops(images: DataFrame, spans: DataFrame) -> DataFrame:
+    """(image, label, l, t, width, height, channels, pixels, mask): each label's bounding box cut from its image, rows from the top.
+
+    ``mask`` lists the label's runs in the box's own coordinates, (y, x0, x1). Labels are clipped to the image; those beside it have no row.
+    """
+    ends = spans.join(images.select("image", "width", "height"), "image").filter("y >= 0 AND y < height AND x1 >= 0 AND x0 < width")
+    ends = ends.withColumns({"x0": F.greatest("x0", F.lit(0)), "x1": F.least("x1", F.col("width") - 1)})
+    box = ends.groupBy("image", "label").agg(
+        F.min("x0").alias("l"), F.min("y").alias("t"), F.max("x1").alias("r"), F.max("y").alias("b"), F.array_sort(F.collect_list(F.struct("y", "x0", "x1"))).alias("runs"))
+    mask = F.transform("runs", lambda q: F.struct((q["y"] - F.col("t")).alias("y"), (q["x0"] - F.col("l")).alias("x0"), (q["x1"] - F.col("l")).alias("x1")))
+    boxes = box.groupBy("image").agg(F.collect_list(F.struct("label", "l", "t", "r", "b", mask.alias("mask"))).alias("boxes"))
+    met = images.join(boxes, "image").withColumns({"w": F.col("width"), "c": F.col("channels"), "d": F.col("data")})
+    row = lambda q, y: F.substring(F.col("d"), (y * F.col("w") + q["l"]) * F.col("c") + 1, (q["r"] - q["l"] + 1) * F.col("c"))
+    pixels = lambda q: F.aggregate(F.sequence(q["t"], q["b"]), F.lit(b""), lambda s, y: F.concat(s, row(q, y)))
+    one = lambda q: F.struct(q["label"].alias("label"), q["l"].alias("l"), q["t"].alias("t"), (q["r"] - q["l"] + 1).alias("width"), (q["b"] - q["t"] + 1).alias("height"), F.col("c").alias("channels"), pixels(q).alias("pixels"), q["mask"].alias("mask"))
+    return met.select("image", F.inline(F.transform("boxes", one)))
+
+
+def _png(data: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
+    def one(raw: bytes, w: int, h: int) -> bytes:
+        part = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+        lines = b"".join(b"\0" + raw[y * w : (y + 1) * w] for y in range(h))
+        return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + part(b"IDAT", zlib.compress(lines)) + part(b"IEND", b"")
+
+    return pd.Series([one(*x) for x in zip(data, width, height)])
+
+
+def png(data, width, height):
+    """Gray pixels (binary, a byte each, from the top) as a PNG file."""
+    return F.pandas_udf(_png, "binary")(data, width, height)

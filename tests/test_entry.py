@@ -6,7 +6,7 @@ import os
 import pandas as pd
 import pytest
 
-from quire.jobs import catalogue, curation, incremental, raw_documents, training  # noqa: F401
+from quire.jobs import catalogue, curation, incremental, pixels, raw_documents, training  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 
