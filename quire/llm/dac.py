@@ -176,7 +176,8 @@ def read_ids(files: DataFrame, ends: bool = False) -> DataFrame:
                 rows = [(d, at, len(x), crc32(x.tobytes())) for d, at, x in file.documents()]
                 doc, at, size, crc = zip(*rows)
                 start, many = np.array(at, np.int64), np.array(size, np.int64)
-                first, middle, last = ([None] * len(rows),) * 3 if not ends else (np.where(many > 0, file.take(np.where(many > 0, start + k, 0)), -1) for k in (0, many // 2, many - 1))
+                places = np.concatenate([start + k for k in (0, many // 2, many - 1)])
+                first, middle, last = np.where(many > 0, file.take(np.where(many[None] > 0, places.reshape(3, -1), 0).ravel()).reshape(3, -1), -1) if ends else [[None] * len(rows)] * 3
                 yield pa.RecordBatch.from_pydict({
                     "part": pa.array([part] * len(rows), pa.int32()), "file": pa.array([number] * len(rows), pa.int32()), "doc_id": pa.array(doc, pa.int64()),
                     "at": pa.array(at, pa.int64()), "n_tokens": pa.array(size, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()),

@@ -82,9 +82,10 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     own = own.withColumns({"range": place, "tie": F.xxhash64("text")})
     order = F.struct(F.col("doc_id").isNotNull().alias("n"), F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("tie").alias("t"))
     firsts = own.groupBy("range").agg(F.min_by("text", order).alias("text"))
-    by = Window.orderBy("range")
+    by = Window.orderBy("range")  # the numbers of the ranges meet in one task, the texts don't
     everything = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    after = firsts.select("range", F.coalesce(F.lead("text").over(by), F.first("text").over(everything)).alias("after"))
+    steps = own.select("range").distinct().select("range", F.coalesce(F.lead("range").over(by), F.first("range").over(everything)).alias("next"))
+    after = steps.join(firsts.select(F.col("range").alias("next"), F.col("text").alias("after")), "next").select("range", "after")
     dealt = own.repartition("range").withColumn("sigs", signatures(F.col("text")))
     within = Window.partitionBy("range").orderBy(F.col("doc_id").asc_nulls_first(), "tie")
     ahead = dealt.withColumns({"lead_text": F.lead("text").over(within), "lead_sigs": F.lead("sigs").over(within)})
