@@ -131,6 +131,13 @@ def g6(spark, d):
     return out.select("page_id", "line_idx", "pos", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
 
 
+@query("g5_boxed_strips", _LINES + _STRIPS.replace("\nSELECT page_id, line_idx, CAST(pos", ",\nq AS (SELECT page_id, line_idx, CAST(pos") + ") SELECT q.page_id, q.line_idx, pos, least(r, greatest(l, x)) AS x, least(b, greatest(t, y)) AS y FROM q JOIN lines USING (page_id, line_idx)")
+def g5(spark, d):
+    """Strips around the baselines, kept within a box: here each line's own."""
+    out = DOC.rescaled(line_rows(spark, d), 1.25, box=list("ltrb")).select("page_id", "line_idx", F.posexplode("coords").alias("pos", "p"))
+    return out.select("page_id", "line_idx", "pos", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
+
+
 @query("g7_baselines", _LINES + " SELECT page_id, line_idx, l AS x, (t + b) / 2 + (b - t) / 2 AS y FROM lines")
 def g7(spark, d):
     lines = line_rows(spark, d)
