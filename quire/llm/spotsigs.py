@@ -5,11 +5,13 @@ further common words left out. A document's fingerprint is the set of its signat
 without any anchor before a content word have one signature of all their words; texts without words have none.
 Two fingerprints are compared by the Jaccard similarity of their sets. ``similar`` finds
 pairs: sets are dealt by their length to partitions so wide that similar lengths lie in the same or the next one,
-and only pairs whose lengths and rarest signatures allow the similarity are compared.
+and only pairs whose lengths and rarest signatures allow the similarity are compared. Its classes and links are columns of the query.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ ANCHORS = (
     "el los las del y por con para una su se lo al como más"
 ).split()
 CHAIN = 3
+#: Least similarity of a link, hash buckets that order the signatures, sets of one signature that a piece holds.
+LINKED, BUCKETS, PIECE = 0.8, 1 << 16, 1024
 WORD_GAP = r"[^\p{L}\p{N}]+"
 
 
@@ -97,43 +101,87 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     )
 
 
-def similar(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """``(members, pairs)``: (doc_id, fingerprint) of all rows, and (a, b, score) of fingerprints whose sets have ``least`` similarity or more.
+def _codes(sigs: Column) -> Column:
+    """Signatures as numbers of 48 bits, which take half the room of their digits."""
+    return F.transform(sigs, lambda s: F.conv(s, 16, 10).cast("bigint"))
+
+
+def loads(docs: DataFrame, text: str = "text", buckets: int = BUCKETS) -> list[int]:
+    """How many signatures of all documents fall in each hash bucket; as many numbers as buckets reach the driver, whatever the table's size."""
+    seen = docs.select(F.explode(_codes(signatures(F.col(text)))).alias("code")).groupBy((F.col("code") % buckets).alias("bucket")).agg(F.count("*").alias("n"))
+    found = dict(seen.collect())
+    return [found.get(i, 0) for i in range(buckets)]
+
+
+def similar(docs: DataFrame, least: float = LINKED, key: str = "doc_id", text: str = "text", piece: int = PIECE) -> tuple[DataFrame, DataFrame]:
+    """``(classes, pairs)``: (fingerprint, class_id, copies) of all sets, and (a, b, score) of different sets of similarity ``least`` (below 1) or more.
+
+    A class is all documents of one set, named by its least id (null if it has only null ids); sets take part once, however many copies they
+    have. a and b are fingerprints, and a is the larger set. The empty set pairs with nothing, nor do sets so small that one signature more or less parts them.
 
-    Documents with equal sets share a fingerprint and take part once. Rarest-first prefixes keep all
-    pairs at or above ``least``; the empty set pairs with nothing.
+    A set is dealt by the signatures of its prefix: those of the emptiest buckets first, as many as one of them must be shared with every set
+    in reach. Any order keeps all pairs; this one keeps common signatures out of the prefixes. Signatures in one prefix only go. The rest
+    is parted by set length: a set meets smaller ones of its own band and of the band below. A signature with over ``piece`` sets is cut: the smaller
+    sets of a pair go to one piece each, the larger to all, so a task holds a piece and the work grows with the square of the sets. Pairs whose places in the
+    prefixes leave too few signatures are dropped before the whole sets are compared. The joins are merges, since Spark takes sets for
+    smaller than they are, and prefixes and comparisons read the sets from one shuffle (an outer explode adds no filter that would part them).
     """
-    sets = stored(docs.select(F.col(key).alias("doc_id"), signatures(F.col(text)).alias("sigs")).withColumn("fingerprint", digest(F.col("sigs"))), "spots")
-    distinct = sets.filter(F.size("sigs") > 0).groupBy("fingerprint").agg(F.first("sigs").alias("sigs"))
-    seen = distinct.select(F.explode("sigs").alias("sig")).groupBy("sig").agg(F.count("*").alias("n"))
-    told = distinct.select("fingerprint", F.size("sigs").alias("size"), F.explode("sigs").alias("sig")).join(seen, "sig")
-    rank = Window.partitionBy("fingerprint").orderBy("n", "sig")
-    prefix = told.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * F.lit(least)) + 1).filter("n > 1")
-    band = F.floor(F.log("size") / F.lit(-1.0) / F.log(F.lit(least))).cast("int") if least < 1 else F.col("size")
-    left = prefix.select("sig", band.alias("band"), F.col("fingerprint").alias("a"), F.col("size").alias("n_a"))
-    right = prefix.select("sig", F.explode(F.array(band, band + 1, band - 1)).alias("band"), F.col("fingerprint").alias("b"), F.col("size").alias("n_b"))
-    near = (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(least)) & (F.col("a") < F.col("b"))
-    pairs = left.join(right, ["sig", "band"]).filter(near).select("a", "b").distinct()
-    of = lambda c: distinct.select(F.col("fingerprint").alias(c), F.col("sigs").alias(f"sigs_{c}"))
-    scored = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("score", likeness(F.col("sigs_a"), F.col("sigs_b")))
-    return sets.select("doc_id", "fingerprint"), scored.filter(F.col("score") >= least).select("a", "b", "score")
+    own = docs.select(F.col(key).cast("bigint").alias("doc_id"), signatures(F.col(text)).alias("sigs")).withColumn("fingerprint", digest(F.col("sigs")))
+    classes = own.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
+    size = F.size("codes")
+    sets = own.select("fingerprint", _codes(F.col("sigs")).alias("codes")).filter(size >= F.lit(least / (1 - least) - 1e-9)).groupBy("fingerprint").agg(F.first("codes").alias("codes"))
+    crowd = F.split(F.lit(",".join(map(str, loads(docs, text)))), ",").cast("array<bigint>")
+    ordered = F.array_sort(F.transform("codes", lambda c: F.struct(F.get(crowd, (c % BUCKETS).cast("int")).alias("load"), c.alias("code"))))
+    prefix = F.slice(ordered, F.lit(1), size - F.ceil(size * F.lit(least) - 1e-9).cast("int") + 1)
+    led = sets.select("fingerprint", size.alias("size"), F.posexplode_outer(F.transform(prefix, lambda c: c["code"])).alias("at", "sig"))
+    shared = led.select("fingerprint", "sig", "size", (F.col("size") - F.col("at")).alias("left")).withColumn("n", F.count("*").over(Window.partitionBy("sig"))).filter("n > 1")
+    pieces = F.ceil(F.col("n") / piece).cast("int")
+    band = F.floor(F.log("size") / F.lit(-math.log(least)) + 1e-9).cast("int")
+    small = shared.select("sig", band.alias("band"), F.pmod(F.xxhash64("fingerprint"), pieces).cast("int").alias("piece"), F.col("fingerprint").alias("b"), F.col("size").alias("n_b"), F.col("left").alias("left_b"))
+    large = shared.select("sig", F.explode(F.array(band, band - 1)).alias("band"), pieces.alias("pieces"), F.col("fingerprint").alias("a"), F.col("size").alias("n_a"), F.col("left").alias("left_a"))
+    large = large.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
+    inside = ((F.col("n_b") < F.col("n_a")) | ((F.col("n_b") == F.col("n_a")) & (F.col("b") < F.col("a")))) & (F.col("n_b") >= F.col("n_a") * F.lit(least) - 1e-9)
+    enough = F.least("left_a", "left_b") >= (F.col("n_a") + F.col("n_b")) * F.lit(least / (1 + least)) - 1e-9
+    pairs = large.join(small.hint("merge"), ["sig", "band", "piece"]).filter(inside & enough).select("a", "b").distinct()
+    of = lambda c: sets.select(F.col("fingerprint").alias(c), F.col("codes").alias(f"codes_{c}"))
+    scored = pairs.join(of("a").hint("merge"), "a").join(of("b").hint("merge"), "b").withColumn("score", likeness(F.col("codes_a"), F.col("codes_b")))
+    return classes, scored.filter(F.col("score") >= least).select("a", "b", "score")
+
+
+def with_links(docs: DataFrame, least: float = LINKED, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(fingerprint, class_id, copies, links): ``similar``'s classes with the number of other classes each is linked to, as a written table."""
+    classes, pairs = similar(docs, least, key, text)
+    links = pairs.select(F.explode(F.array("a", "b")).alias("fingerprint")).groupBy("fingerprint").agg(F.count("*").alias("links"))
+    return stored(classes.join(links.hint("merge"), "fingerprint", "left").withColumn("links", F.coalesce("links", F.lit(0).cast("bigint"))), "classes")
+
+
+def _beside(rows: DataFrame, classes: DataFrame, spread: str, most: int = 1024) -> DataFrame:
+    """``rows`` with class_id and links; the ``most`` classes of most copies are sent to all tasks, so no hot class meets in one."""
+    told = classes.select("fingerprint", F.struct("class_id", "links").alias("told"), "copies")
+    hot = F.broadcast(told.orderBy(F.desc("copies"), "fingerprint").limit(most).select("fingerprint", F.col("told").alias("hot")))
+    met = rows.join(hot, "fingerprint", "left").withColumn("at", F.when(F.col("hot").isNull(), F.col("fingerprint")).otherwise(F.concat(F.lit("hot"), spread)))
+    met = met.join(told.select(F.col("fingerprint").alias("at"), "told"), "at", "left").withColumn("told", F.coalesce("hot", "told"))
+    return met.select(*rows.columns, "told.class_id", "told.links")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
-    """Fingerprints of all documents and of their edited texts, with the likeness to these and to the next document.
+    """Fingerprints of all documents and of their edited texts, with the likeness to these and to the next document, and each document's class and its links.
 
-    Nulls and repeated ids as ``with_next`` states; texts are whole, and a row takes a few times the size of its text. Texts without words have the empty set.
+    A class is the documents of equal fingerprint; links counts the other classes at a similarity of 0.8 or more (``similar``). Nulls and repeated ids as ``with_next`` states; texts are whole, and a row takes a few times the size of its text. Texts without words have the empty set.
     """
-    met = with_next(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    classes = with_links(docs)
+    met = with_next(docs)
     n = F.length("text")
     k = (n / 4).cast("int")
     edited = F.concat(F.expr("left(text, length(text) - int(length(text) / 4))"), F.expr("left(next_text, int(length(text) / 4))"))
     out = met.withColumns({"n": n, "k": k, "edited": edited}).withColumn("edited_sigs", signatures(F.col("edited")))
-    return out.select(
+    rows = out.select(
         "doc_id", F.col("n").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         digest(F.col("sigs")).alias("fingerprint"), digest(F.col("edited_sigs")).alias("edited_fingerprint"),
         likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"), likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
     )
+    return _beside(rows, classes, "edited_sha256")
 
 
 def _sql_sigs(text: str) -> str:
@@ -150,8 +198,13 @@ ORACLE = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 n AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS next_text FROM d),
 e AS (SELECT *, left(text, length(text) - length(text) // 4) || left(next_text, length(text) // 4) AS edited FROM n),
-s AS (SELECT *, {_sql_sigs("text")} AS a, {_sql_sigs("edited")} AS b, {_sql_sigs("next_text")} AS c FROM e)
+s AS (SELECT *, {_sql_sigs("text")} AS a, {_sql_sigs("edited")} AS b, {_sql_sigs("next_text")} AS c FROM e),
+k AS (SELECT a, min(doc_id) AS class_id FROM s GROUP BY a),
+u AS (SELECT class_id, len(a) AS n, unnest(a) AS sig FROM k),
+j AS (SELECT x.class_id, x.n AS m, y.n, count(*) AS common FROM u x JOIN u y ON x.sig = y.sig AND x.class_id <> y.class_id GROUP BY x.class_id, y.class_id, x.n, y.n),
+l AS (SELECT class_id, count(*) AS links FROM j WHERE common::DOUBLE / (m + n - common) >= {LINKED} GROUP BY class_id)
 SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256,
   len(a)::VARCHAR || '-' || md5(array_to_string(a, ',')) AS fingerprint, len(b)::VARCHAR || '-' || md5(array_to_string(b, ',')) AS edited_fingerprint,
-  CAST({_NEAR.format("a", "b")} AS DOUBLE) AS near_edited, CAST({_NEAR.format("a", "c")} AS DOUBLE) AS near_next
-FROM s"""
+  CAST({_NEAR.format("a", "b")} AS DOUBLE) AS near_edited, CAST({_NEAR.format("a", "c")} AS DOUBLE) AS near_next,
+  class_id, coalesce(links, 0) AS links
+FROM s JOIN k USING (a) LEFT JOIN l USING (class_id)"""

@@ -278,9 +278,10 @@ def test_spot_signatures(spark, docs, empty):
 
     want = sorted(hashlib.md5(x.encode()).hexdigest()[:12] for x in ("the red fox small", "a small blue house"))
     assert got == want
-    members, pairs = spotsigs.similar(docs, 0.8)
-    names = {r.doc_id: r.fingerprint for r in members.collect()}
+    classes, pairs = spotsigs.similar(docs, 0.8)
+    names = {r.doc_id: r.f for r in docs.select("doc_id", spotsigs.digest(spotsigs.signatures(F.col("text"))).alias("f")).collect()}
     assert names[0] == names[40] and any({r.a, r.b} == {names[3], names[41]} for r in pairs.collect())
+    assert {r.class_id for r in classes.filter(F.col("fingerprint") == names[0]).collect()} == {0}
     assert spotsigs.similar(empty)[1].count() == 0 and spotsigs.with_next(empty).count() == 0
 
 
