@@ -3,8 +3,8 @@
 Each value found is checked (Luhn digit, octets, calendar) and goes through a Feistel network over
 its own domain: two halves take turns, each adding a keyed hash of the other modulo its own size. So the
 result is a permutation that keeps the format: a card number stays a valid card number, a date a date.
-Equal values have equal pseudonyms in all documents. E-mail addresses and secrets, which have no
-number format, become keyed digests of the same shape.
+Equal values have equal pseudonyms in all documents, whichever way an IPv6 address or a French or German number is written. E-mail addresses and
+secrets (pass words told in four languages, tokens of known heads, key blocks), which have no number format, become keyed digests.
 """
 
 from __future__ import annotations
@@ -16,8 +16,12 @@ from .common import table
 
 #: What is looked for, in order of precedence.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
-    "secret": r"\bAKIA[0-9A-Z]{16}\b|\b(?i:token|secret|api[_-]?key|password|passwd|pwd)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_-]{8,}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
+    "block": r"-----BEGIN (?:[A-Z0-9]{1,12} ){0,3}PRIVATE KEY-----[A-Za-z0-9+/=:,\s-]{1,32768}?-----END (?:[A-Z0-9]{1,12} ){0,3}PRIVATE KEY-----",
+    "token": r"\b(?:gh[opsru]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}|AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9_-])",
+    "secret": r"\bAKIA[0-9A-Z]{16}\b|\b(?i:token|secret|api[_-]?key|password|passwd|pwd)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_-]{8,}"
+    r"|(?<![\p{L}\p{N}])(?i:passwort|kennwort|contraseña|contrasena|clave|mot de passe|mdp)\s{0,3}[=:]\s{0,3}[\"']?(?=[A-Za-z+/_-]*\d)[A-Za-z0-9+/_-]{8,}",
+    "ipv6": r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]{0,39}\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|[0-9A-Fa-f]{4}:(?:[0-9A-Fa-f]{1,4}:){0,5}(?:(?::[0-9A-Fa-f]{1,4}){1,6}|:))(?![0-9A-Za-z:]|\.\d)",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "date": r"(?<![\d-])[12]\d{3}-[01]\d-[0-3]\d(?![\d-])|(?<![\d./])[12]\d{3}(?:/[01]?\d/[0-3]?\d|\.[01]?\d\.[0-3]?\d)(?![\d/]|\.\d)"
     r"|(?<![\d./-])(?:[0-3]?\d/[0-3]?\d/|[0-3]?\d\.[0-3]?\d\.|[0-3]?\d-[0-3]?\d-)[12]\d{3}(?![\d-]|[./]\d)",
@@ -114,7 +118,12 @@ def _phone(hit: Column, key: str) -> Column:
 
 
 def _abroad(hit: Column, key: str) -> Column:
-    """The first two digits (four after 00) stay, so the country mostly does."""
+    """The first two digits (four after 00) stay, so the country mostly does; French and German numbers keep theirs, with or without the national 0.
+
+    Of these two the digits behind country and 0 are permuted, the first of them never 0, so one number has one pseudonym in its
+    national and its international form. National numbers in pairs are French, those of an area and a line German.
+    """
+    pairs = hit.rlike(r"^0[1-9](?:[ .-]\d{2}){4}$")
 
     def go(d: Column) -> Column:
         head = F.when(d.startswith("00"), 4).otherwise(2)
@@ -123,7 +132,64 @@ def _abroad(hit: Column, key: str) -> Column:
         new = feistel(key, "abroad", F.substring(d, head + 1, half).cast("bigint"), F.substring(d, head + half + 1, size).cast("bigint"), _power(half), _power(size))
         return _let(new, lambda s: _refill(hit, F.concat(F.substring(d, F.lit(1), head), _pad(s["l"], half), _pad(s["r"], size))))
 
-    return _let(_digits(hit), go)
+    def known(d: Column) -> Column:
+        national = d.rlike("^0[1-9]")
+        head = F.when(national, F.lit("0")).otherwise(F.regexp_extract(d, "^(?:00)?(?:33|49)0?", 0))
+        own = F.substring(d, F.length(head) + 1, F.length(d))
+        land = F.when(F.when(national, pairs).otherwise(head.rlike("^(?:00)?33")), F.lit("33")).otherwise(F.lit("49"))
+
+        def put(x: Column) -> Column:
+            half = F.floor(F.length(x["own"]) / 2).cast("int")
+            size = (F.length(x["own"]) - half).cast("int")
+            low = _power(half - 1)
+            new = feistel(key, F.concat(F.lit("land"), x["land"]), F.substring(x["own"], F.lit(1), half).cast("bigint") - low, F.substring(x["own"], half + 1, size).cast("bigint"), 9 * low, _power(size))
+            return _let(new, lambda s: _refill(hit, F.concat(x["head"], (s["l"] + low).cast("string"), _pad(s["r"], size))))
+
+        return _let(F.struct(head.alias("head"), own.alias("own"), land.alias("land")), put)
+
+    return _let(_digits(hit), lambda d: F.when(d.rlike(r"^(?:0|(?:00)?(?:33|49)0?)[1-9]\d{3,}$"), known(d)).otherwise(go(d)))
+
+
+def _ipv6(hit: Column, key: str) -> Column:
+    """All 128 bits are permuted: the low half under the high one's name, then the high half under the new low one's. Shown in full, so all forms of an address are one.
+
+    Texts that are no address (more than eight groups, or none left out of fewer) stay.
+    """
+    groups = lambda x: F.filter(F.split(x, ":"), lambda g: g != "")
+    number = lambda g: F.conv(g, 16, 10).cast("bigint")
+    before, after = groups(F.substring_index(hit, "::", 1)), groups(F.when(hit.contains("::"), F.substring_index(hit, "::", -1)).otherwise(F.lit("")))
+    left_out = 8 - F.size(before) - F.size(after)
+    valid = (hit.contains("::") & (left_out > 0)) | (~hit.contains("::") & (left_out == 0))
+    valid &= ~hit.rlike("::.*::|:::|^:[^:]|[^:]:$")
+    words = F.transform(F.concat(before, F.array_repeat(F.lit("0"), F.greatest(left_out, F.lit(0))), after), number)
+    quarter = lambda w, i: F.get(w, i) * 65536 + F.get(w, i + 1)
+    name = lambda kind, l, r: F.concat_ws("|", F.lit(kind), l.cast("string"), r.cast("string"))
+    side = F.lit(1 << 32)
+
+    def put(w: Column) -> Column:
+        high = lambda low: feistel(key, name("ipv6 high", low["l"], low["r"]), quarter(w, 0), quarter(w, 2), side, side)
+        low = feistel(key, name("ipv6 low", F.concat_ws(":", *[F.get(w, i).cast("string") for i in range(2)]), F.concat_ws(":", *[F.get(w, i).cast("string") for i in range(2, 4)])), quarter(w, 4), quarter(w, 6), side, side)
+        text = lambda h, o: F.lower(F.concat_ws(":", *[F.hex(x) for v in (h["l"], h["r"], o["l"], o["r"]) for x in (F.shiftright(v, 16), v % 65536)]))
+        return _let(low, lambda o: _let(high(o), lambda h: text(h, o)))
+
+    return F.when(valid, _let(words, put)).otherwise(hit)
+
+
+def _digest_of(kind: str, body: Column, key: str) -> Column:
+    return F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), body), 256)
+
+
+def _token(hit: Column, key: str) -> Column:
+    """The head that tells the kind of token stays."""
+    head = F.regexp_extract(hit, "^(?:gh[opsru]_|github_pat_|glpat-|xox[abprs]-|sk-|AIza)", 0)
+    body = F.substring(hit, F.length(head) + 1, F.length(hit))
+    return F.concat(head, F.rpad(_digest_of("token", body, key), F.length(body), F.lit("0")))
+
+
+def _block(hit: Column, key: str) -> Column:
+    """A key block keeps its first and last line around a digest of its key; line breaks don't count. Blocks of over 32,768 characters are none."""
+    ends = lambda at: F.regexp_extract(hit, at, 0)
+    return F.concat(ends("^-----BEGIN [A-Z0-9 ]*-----"), F.lit("\n"), _digest_of("block", F.regexp_replace(hit, r"\s", ""), key), F.lit("\n"), ends("-----END [A-Z0-9 ]*-----$"))
 
 
 def _rest_97(x: Column) -> Column:
@@ -211,14 +277,14 @@ def _email(hit: Column, key: str) -> Column:
 
 
 def _secret(hit: Column, key: str) -> Column:
-    head = F.regexp_extract(hit, r"^(AKIA|[A-Za-z_-]+\s*[=:]\s*[\"']?)", 1)
+    head = F.regexp_extract(hit, r"^(AKIA|[\p{L}_ -]+\s*[=:]\s*[\"']?)", 1)
     body = F.substring(hit, F.length(head) + 1, F.length(hit))
     new = F.sha2(F.concat_ws("|", F.lit(key), F.lit("secret"), body), 256)
     new = F.rpad(new, F.length(body), F.lit("0"))
     return F.concat(head, F.when(head == "AKIA", F.upper(new)).otherwise(new))
 
 
-KINDS = {"email": _email, "secret": _secret, "iban": _iban, "date": _date, "ssn": _ssn, "ip": _ip, "card": _card, "phone": _phone, "abroad": _abroad}
+KINDS = {"email": _email, "block": _block, "token": _token, "secret": _secret, "ipv6": _ipv6, "iban": _iban, "date": _date, "ssn": _ssn, "ip": _ip, "card": _card, "phone": _phone, "abroad": _abroad}
 
 
 def pseudonym(hit: Column, key: str) -> Column:
@@ -231,7 +297,7 @@ def pseudonym(hit: Column, key: str) -> Column:
 
 def _masked(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``(row, masked)``: each row as a struct, and its new text with the number of values replaced (null: none)."""
-    may = F.col(f"`{text}`").rlike(r"[0-9@]|AKIA|(?i:token|secret|key|password|passwd|pwd)\s{0,3}[=:]")
+    may = F.col(f"`{text}`").rlike(r"[0-9@]|AKIA|PRIVATE KEY-----|(?i:token|secret|key|password|passwd|pwd)\s{0,3}[=:]|gh[opsru]_|glpat-|xox[abprs]-|sk-|AIza")
     parts = F.when(may, F.struct(F.split(F.col(f"`{text}`"), ANY, -1).alias("gaps"), F.regexp_extract_all(F.col(f"`{text}`"), F.lit(ANY), F.lit(0)).alias("hits")))
 
     def put(p: Column) -> Column:
