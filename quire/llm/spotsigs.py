@@ -108,11 +108,18 @@ def _codes(sigs: Column) -> Column:
 
 def loads(docs: DataFrame, text: str = "text", buckets: int = BUCKETS) -> list[int]:
     """How many signatures of all documents fall in each hash bucket; as many numbers as buckets reach the driver, whatever the table's size."""
-    seen = docs.select(F.explode(_codes(signatures(F.col(text)))).alias("code")).groupBy((F.col("code") % buckets).alias("bucket")).agg(F.count("*").alias("n"))
+    codes = F.explode_outer(_codes(signatures(F.col(text))))  # an inner explode makes them twice, to filter empty ones first
+    seen = docs.select(codes.alias("code")).groupBy((F.col("code") % buckets).alias("bucket")).agg(F.count("*").alias("n"))
     found = dict(seen.collect())
     return [found.get(i, 0) for i in range(buckets)]
 
 
+def _ranks(counts: list[int]) -> list[int]:
+    """Each bucket's place by its load, in 15 bits."""
+    place = {b: i for i, b in enumerate(sorted(range(len(counts)), key=counts.__getitem__))}
+    return [(place[b] << 15) // len(counts) for b in range(len(counts))]
+
+
 def similar(docs: DataFrame, least: float = LINKED, key: str = "doc_id", text: str = "text", piece: int = PIECE) -> tuple[DataFrame, DataFrame]:
     """``(classes, pairs)``: (fingerprint, class_id, copies) of all sets, and (a, b, score) of different sets of similarity ``least`` (below 1) or more.
 
@@ -124,16 +131,17 @@ def similar(docs: DataFrame, least: float = LINKED, key: str = "doc_id", text: s
     is parted by set length: a set meets smaller ones of its own band and of the band below. A signature with over ``piece`` sets is cut: the smaller
     sets of a pair go to one piece each, the larger to all, so a task holds a piece and the work grows with the square of the sets. Pairs whose places in the
     prefixes leave too few signatures are dropped before the whole sets are compared. The joins are merges, since Spark takes sets for
-    smaller than they are, and prefixes and comparisons read the sets from one shuffle (an outer explode adds no filter that would part them).
+    smaller than they are. Prefixes and comparisons read the sets from one shuffle: an outer explode, a filter behind the sum and a fingerprint
+    that can't be null keep filters out of the one side that would part them, and out of the scan, where signatures would be made twice.
     """
-    own = docs.select(F.col(key).cast("bigint").alias("doc_id"), signatures(F.col(text)).alias("sigs")).withColumn("fingerprint", digest(F.col("sigs")))
+    own = docs.select(F.col(key).cast("bigint").alias("doc_id"), signatures(F.col(text)).alias("sigs")).withColumn("fingerprint", F.coalesce(digest(F.col("sigs")), F.lit("")))
     classes = own.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
     size = F.size("codes")
-    sets = own.select("fingerprint", _codes(F.col("sigs")).alias("codes")).filter(size >= F.lit(least / (1 - least) - 1e-9)).groupBy("fingerprint").agg(F.first("codes").alias("codes"))
-    crowd = F.split(F.lit(",".join(map(str, loads(docs, text)))), ",").cast("array<bigint>")
-    ordered = F.array_sort(F.transform("codes", lambda c: F.struct(F.get(crowd, (c % BUCKETS).cast("int")).alias("load"), c.alias("code"))))
+    sets = own.select("fingerprint", _codes(F.col("sigs")).alias("codes")).groupBy("fingerprint").agg(F.first("codes").alias("codes")).filter(size >= F.lit(least / (1 - least) - 1e-9))
+    crowd = F.split(F.lit(",".join(map(str, _ranks(loads(docs, text))))), ",").cast("array<bigint>")
+    ordered = F.sort_array(F.transform("codes", lambda c: F.get(crowd, (c % BUCKETS).cast("int")) * F.lit(1 << 48) + c))  # bucket's rank, then code, in one number
     prefix = F.slice(ordered, F.lit(1), size - F.ceil(size * F.lit(least) - 1e-9).cast("int") + 1)
-    led = sets.select("fingerprint", size.alias("size"), F.posexplode_outer(F.transform(prefix, lambda c: c["code"])).alias("at", "sig"))
+    led = sets.select("fingerprint", size.alias("size"), F.posexplode_outer(prefix).alias("at", "sig"))
     shared = led.select("fingerprint", "sig", "size", (F.col("size") - F.col("at")).alias("left")).withColumn("n", F.count("*").over(Window.partitionBy("sig"))).filter("n > 1")
     pieces = F.ceil(F.col("n") / piece).cast("int")
     band = F.floor(F.log("size") / F.lit(-math.log(least)) + 1e-9).cast("int")
@@ -148,9 +156,10 @@ def similar(docs: DataFrame, least: float = LINKED, key: str = "doc_id", text: s
     return classes, scored.filter(F.col("score") >= least).select("a", "b", "score")
 
 
-def with_links(docs: DataFrame, least: float = LINKED, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(fingerprint, class_id, copies, links): ``similar``'s classes with the number of other classes each is linked to, as a written table."""
-    classes, pairs = similar(docs, least, key, text)
+def with_links(docs: DataFrame, least: float = LINKED, key: str = "doc_id", text: str = "text", classes: DataFrame | None = None) -> DataFrame:
+    """(fingerprint, class_id, copies, links): ``similar``'s classes (or those given, where they are known) with the number of other classes each is linked to, as a written table."""
+    own, pairs = similar(docs, least, key, text)
+    classes = own if classes is None else classes
     links = pairs.select(F.explode(F.array("a", "b")).alias("fingerprint")).groupBy("fingerprint").agg(F.count("*").alias("links"))
     return stored(classes.join(links.hint("merge"), "fingerprint", "left").withColumn("links", F.coalesce("links", F.lit(0).cast("bigint"))), "classes")
 
@@ -170,7 +179,6 @@ def op7(spark, sf_dir: str) -> DataFrame:
     A class is the documents of equal fingerprint; links counts the other classes at a similarity of 0.8 or more (``similar``). Nulls and repeated ids as ``with_next`` states; texts are whole, and a row takes a few times the size of its text. Texts without words have the empty set.
     """
     docs = table(spark, sf_dir, "documents")
-    classes = with_links(docs)
     met = with_next(docs)
     n = F.length("text")
     k = (n / 4).cast("int")
@@ -181,7 +189,9 @@ def op7(spark, sf_dir: str) -> DataFrame:
         digest(F.col("sigs")).alias("fingerprint"), digest(F.col("edited_sigs")).alias("edited_fingerprint"),
         likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"), likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
     )
-    return _beside(rows, classes, "edited_sha256")
+    rows = stored(rows, "spots")
+    classes = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
+    return _beside(rows, with_links(docs, classes=classes), "edited_sha256")
 
 
 def _sql_sigs(text: str) -> str:
