@@ -5,11 +5,13 @@ characters, whatever else the text holds, so the ids of a text are those of its
 Texts repeat their words, so each worker keeps the ids of the pieces it has met, up to
 ``CACHE_BYTES``; further ones are encoded as they come. New pieces are encoded many at a
 time, set apart by a word that is one token: where it is counted too often,
-the pieces are encoded one by one.
+the pieces are encoded one by one. Where the tokenizer lower-cases and cuts letters, digits and
+marks apart, most new pieces are put together from such runs ("Word," from "word" and ","), which repeat far more often.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -21,6 +23,12 @@ from .common import chunked, held
 CACHE_BYTES, ENTRY = 140 << 20, 170
 _TOGETHER = 64
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: The steps of a tokenizer whose ids of a piece are those of its runs.
+_STEPS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_CUT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+#: Pieces that are cut into runs: letters that are one letter in lower case and normal form, digits, ASCII marks but the apostrophe.
+_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\[-`{-~\t\n\r]*")
+_RUNS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 
 
 class PieceEncoder:
@@ -39,8 +47,16 @@ class PieceEncoder:
         self.inner: dict[str, bytes] = {} if spaced else {"": b""}
         self.first: dict[str, bytes] = {}
         self.size = 0
+        self.in_runs = not spaced and self._cuts_runs()
         self.divider, self.divider_id = self._divider()
 
+    def _cuts_runs(self) -> bool:
+        normal, cut = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        if normal is None or cut is None:
+            return False
+        normal, cut = json.loads(normal.__getstate__()), json.loads(cut.__getstate__())
+        return normal.get("normalizers") == _STEPS and _CUT in cut.get("pretokenizers", [])[:1]
+
     def _divider(self) -> tuple[str, int]:
         for token, at in sorted(self.tokenizer.get_vocab().items(), key=lambda x: -x[1]):
             word = token.removeprefix("Ġ").removesuffix("</w>")
@@ -68,6 +84,19 @@ class PieceEncoder:
             out += [raw[a:b] for a, b in zip([0, *(at * 4 + 4).tolist()], ends)]
         return out
 
+    def _encoded(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of pieces that the cache lacks, and of the runs that it lacks of them."""
+        if not self.in_runs:
+            return dict(zip(new, self._together(new)))
+        runs = [_RUNS.findall(p.lower()) if _PLAIN.fullmatch(p) else [p] for p in new]
+        lone = sorted(set().union(*runs).difference(self.inner))
+        now = dict(zip(lone, self._together(lone)))
+        get = lambda run: now.get(run) or self.inner[run]
+        for piece, own in zip(new, runs):
+            if piece not in now:
+                now[piece] = get(own[0]) if len(own) == 1 else b"".join(map(get, own))
+        return now
+
     def _regular(self, piece: str) -> bool:
         return not self.spaced or bool(piece) and piece.strip() == piece
 
@@ -91,7 +120,7 @@ class PieceEncoder:
                 new.update(own)
             new = new.difference(bad, known)
         new, firsts = sorted(new), sorted(set(heads).difference(self.first))
-        now = dict(zip(new, self._together(new)))
+        now = self._encoded(new)
         first = dict(zip(firsts, self._alone(firsts)))
         ends = dict(zip(odd, self._alone(list(odd.values()))))
         known.update(now)
