@@ -1,9 +1,11 @@
 """Near-duplicates by the Jaccard similarity of their shingle sets; SimHash pivot tables discard, an exact check decides.
 
 * **fingerprints**: each set has the 64-bit SimHash of its shingles. Similarity 0.8 leaves about 10 differing bits; the fewer shingles, the wider
-  the spread, so pairs with a set below ``FEW`` shingles have no bit limit, the others ``MAX_BITS``. Cells of pivot sides cannot
-  bound a search at such a distance (nearly every fingerprint would lie on both sides of every reference), so
-* **keys** bound the pairs: ``ROWS`` least values of the set, each under a hash function of its own, make a key; sets
+  the spread, so pairs with a set below ``FEW`` shingles have no bit limit, the others ``MAX_BITS``.
+* **cells** of pivot sides bring together the fingerprints within ``CELL_BITS``, as in ``simhash``: the sets of one fingerprint meet the least of them, and
+  these meet along the cells' links. Cells cannot bound a search at ``MAX_BITS`` (nearly every fingerprint would lie on both sides of every reference), so
+  for the pairs farther apart
+* **keys** bound the search: ``ROWS`` least values of the set, each under a hash function of its own, make a key; sets
   of similarity s share one of ``KEYS`` keys with probability 1 - (1 - s^5)^30, 0.99999 at 0.8, at any length.
 * **stars**: the members of a key meet its least member. Pairs whose distances to a reference fingerprint
   differ by over ``MAX_BITS`` are discarded, then those whose fingerprints do; the texts of survivors are compared exactly.
@@ -25,11 +27,13 @@ from pyspark.sql import functions as F
 
 from .common import byte_texts, mapped, slices, stored
 from .components import components
-from .simhash import PIVOTS, SEED, in_pieces, pivot_table, shingle_hashes, vote
+from .simhash import PIVOTS, SEED, dealt, in_pieces, links, pivot_table, shingle_hashes, vote
 
 ROWS, KEYS = 5, 30
 #: Differing bits beyond which a pair is discarded, if both sets have ``FEW`` shingles or more.
 MAX_BITS, FEW = 24, 64
+#: Differing bits within which the cells of the pivot tables find every pair of fingerprints.
+CELL_BITS = 2
 #: Members of one key that are compared at once.
 PIECE = 1024
 #: Least Jaccard similarity of a link, as a ratio.
@@ -159,6 +163,15 @@ def _within(a: str, b: str, m: Column) -> Column:
     return (m < FEW) | (near & (F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= MAX_BITS))
 
 
+def in_cells(classes: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of sets along whose links all sets within ``CELL_BITS`` of each other are connected, by the cells of the pivot tables."""
+    prints = stored(classes.groupBy("fp").agg(F.min("set").alias("hub")), "prints")
+    same = classes.join(prints, "fp").filter("set <> hub").select(F.col("hub").alias("a"), F.col("set").alias("b"))
+    of = lambda x: prints.select(F.col("fp").alias(x), F.col("hub").alias(f"hub_{x}"))
+    met = links(dealt(prints, CELL_BITS), CELL_BITS).join(of("a"), "a").join(of("b"), "b")
+    return same.unionByName(met.select(F.col("hub_a").alias("a"), F.col("hub_b").alias("b")))
+
+
 def components_of(docs: DataFrame, prints: DataFrame, width: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(node, root)`` of the sets of ``prints`` that verified links connect."""
     p, q = LEAST
@@ -167,7 +180,8 @@ def components_of(docs: DataFrame, prints: DataFrame, width: int, key: str = "do
     hubs = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("set").alias("hub")).filter("n > 1")
     some = stored(keyed.join(hubs, "key"), "keys")
     of = lambda x: classes.select(F.col("set").alias(x), F.col("m").alias(f"m_{x}"), F.col("fp").alias(f"fp_{x}"))
-    pairs = some.filter("set <> hub").select(F.col("hub").alias("a"), F.col("set").alias("b")).distinct().join(of("a"), "a").join(of("b"), "b")
+    met = some.filter("set <> hub").select(F.col("hub").alias("a"), F.col("set").alias("b")).unionByName(in_cells(classes))
+    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(of("a"), "a").join(of("b"), "b")
     near = stored(pairs.filter((q * F.least("m_a", "m_b") >= p * F.greatest("m_a", "m_b")) & _within("fp_a", "fp_b", F.least("m_a", "m_b"))).select("a", "b"), "pairs")
     # the texts of all sets that may be compared, one row each
     wanted = near.select(F.explode(F.array("a", "b")).alias("set")).unionByName(some.filter("n > 2").select("set")).distinct()
