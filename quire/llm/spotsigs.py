@@ -27,6 +27,8 @@ ANCHORS = (
 CHAIN = 3
 #: Least similarity of a link, hash buckets that order the signatures, sets of one signature that a piece holds.
 LINKED, BUCKETS, PIECE = 0.8, 1 << 16, 1024
+#: Signatures beyond which a set counts as more than one in its piece, and most sets of a signature whose pairs are rows.
+WHOLE, FEW = 128, 16
 WORD_GAP = r"[^\p{L}\p{N}]+"
 
 
@@ -120,47 +122,118 @@ def _ranks(counts: list[int]) -> list[int]:
     return [(place[b] << 15) // len(counts) for b in range(len(counts))]
 
 
-def similar(docs: DataFrame, least: float = LINKED, key: str = "doc_id", text: str = "text", piece: int = PIECE) -> tuple[DataFrame, DataFrame]:
-    """``(classes, pairs)``: (fingerprint, class_id, copies) of all sets, and (a, b, score) of different sets of similarity ``least`` (below 1) or more.
+def _classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Documents' fingerprints with their signatures, and (fingerprint, class_id, copies)."""
+    own = docs.select(F.col(key).cast("bigint").alias("doc_id"), signatures(F.col(text)).alias("sigs")).withColumn("fingerprint", F.coalesce(digest(F.col("sigs")), F.lit("")))
+    return own, own.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
 
-    A class is all documents of one set, named by its least id (null if it has only null ids); sets take part once, however many copies they
-    have. a and b are fingerprints, and a is the larger set. The empty set pairs with nothing, nor do sets so small that one signature more or less parts them.
 
-    A set is dealt by the signatures of its prefix: those of the emptiest buckets first, as many as one of them must be shared with every set
-    in reach. Any order keeps all pairs; this one keeps common signatures out of the prefixes. Signatures in one prefix only go. The rest
-    is parted by set length: a set meets smaller ones of its own band and of the band below. A signature with over ``piece`` sets is cut: the smaller
-    sets of a pair go to one piece each, the larger to all, so a task holds a piece and the work grows with the square of the sets. Pairs whose places in the
-    prefixes leave too few signatures are dropped before the whole sets are compared. The joins are merges, since Spark takes sets for
-    smaller than they are. Prefixes and comparisons read the sets from one shuffle: an outer explode, a filter behind the sum and a fingerprint
+def _shared(own: DataFrame, counts: list[int], least: float) -> tuple[DataFrame, DataFrame]:
+    """``(sets, shared)``: (fingerprint, codes), codes in an order that is the same for all sets, and the signatures of their prefixes that several sets have.
+
+    A prefix is the signatures of the emptiest buckets, as many as one of them must be shared with every set
+    in reach. Any order keeps all pairs; this one keeps common signatures out of the prefixes. Signatures in one prefix only go, and of the rest
+    sets without another in reach of their length. ``meets`` has the length bands where a set meets others: its own and, as a visitor, the band below.
+    Sets are read from one shuffle: an outer explode, a filter behind the sum and a fingerprint
     that can't be null keep filters out of the one side that would part them, and out of the scan, where signatures would be made twice.
     """
-    own = docs.select(F.col(key).cast("bigint").alias("doc_id"), signatures(F.col(text)).alias("sigs")).withColumn("fingerprint", F.coalesce(digest(F.col("sigs")), F.lit("")))
-    classes = own.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
     size = F.size("codes")
     sets = own.select("fingerprint", _codes(F.col("sigs")).alias("codes")).groupBy("fingerprint").agg(F.first("codes").alias("codes")).filter(size >= F.lit(least / (1 - least) - 1e-9))
-    crowd = F.split(F.lit(",".join(map(str, _ranks(loads(docs, text))))), ",").cast("array<bigint>")
+    crowd = F.split(F.lit(",".join(map(str, _ranks(counts)))), ",").cast("array<bigint>")
     ordered = F.sort_array(F.transform("codes", lambda c: F.get(crowd, (c % BUCKETS).cast("int")) * F.lit(1 << 48) + c))  # bucket's rank, then code, in one number
-    prefix = F.slice(ordered, F.lit(1), size - F.ceil(size * F.lit(least) - 1e-9).cast("int") + 1)
-    led = sets.select("fingerprint", size.alias("size"), F.posexplode_outer(prefix).alias("at", "sig"))
-    shared = led.select("fingerprint", "sig", "size", (F.col("size") - F.col("at")).alias("left")).withColumn("n", F.count("*").over(Window.partitionBy("sig"))).filter("n > 1")
-    pieces = F.ceil(F.col("n") / piece).cast("int")
-    band = F.floor(F.log("size") / F.lit(-math.log(least)) + 1e-9).cast("int")
-    small = shared.select("sig", band.alias("band"), F.pmod(F.xxhash64("fingerprint"), pieces).cast("int").alias("piece"), F.col("fingerprint").alias("b"), F.col("size").alias("n_b"), F.col("left").alias("left_b"))
-    large = shared.select("sig", F.explode(F.array(band, band - 1)).alias("band"), pieces.alias("pieces"), F.col("fingerprint").alias("a"), F.col("size").alias("n_a"), F.col("left").alias("left_a"))
-    large = large.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
-    inside = ((F.col("n_b") < F.col("n_a")) | ((F.col("n_b") == F.col("n_a")) & (F.col("b") < F.col("a")))) & (F.col("n_b") >= F.col("n_a") * F.lit(least) - 1e-9)
-    enough = F.least("left_a", "left_b") >= (F.col("n_a") + F.col("n_b")) * F.lit(least / (1 + least)) - 1e-9
-    pairs = large.join(small.hint("merge"), ["sig", "band", "piece"]).filter(inside & enough).select("a", "b").distinct()
+    sets = sets.select("fingerprint", ordered.alias("codes"))
+    prefix = F.slice("codes", F.lit(1), size - F.ceil(size * F.lit(least) - 1e-9).cast("int") + 1)
+    led = sets.select("fingerprint", size.alias("n"), F.posexplode_outer(prefix).alias("at", "sig"))
+    band = F.floor(F.log("n") / F.lit(-math.log(least)) + 1e-9).cast("int")
+    by, row = Window.partitionBy("sig"), Window.partitionBy("sig").orderBy("n")
+    shared = led.select("fingerprint", "sig", "n", (F.col("n") - F.col("at")).alias("left"), band.alias("band")).withColumns({
+        "below": F.lag("n").over(row), "above": F.lead("n").over(row), "sets": F.count("*").over(by),
+        "load": F.sum(F.greatest(F.lit(1.0), F.col("n") / WHOLE)).over(by), "bands": F.collect_set("band").over(by),
+    })
+    shared = shared.filter((F.col("below") >= F.col("n") * F.lit(least) - 1e-9) | (F.col("n") >= F.col("above") * F.lit(least) - 1e-9))
+    meets = F.when(F.array_contains("bands", F.col("band") - 1), F.array(F.col("band"), F.col("band") - 1)).otherwise(F.array("band"))
+    return sets, shared.select("fingerprint", "sig", "n", "left", "band", "sets", "load", meets.alias("meets"))
+
+
+def _may(x: Column, y: Column, least: float) -> Column:
+    """Whether lengths, and places in the prefixes, leave two members of a band enough common signatures; one of them is at home there."""
+    near = F.least(x["n"], y["n"]) >= F.greatest(x["n"], y["n"]) * F.lit(least) - 1e-9
+    return (x["own"] | y["own"]) & near & (F.least(x["left"], y["left"]) >= (x["n"] + y["n"]) * F.lit(least / (1 + least)) - 1e-9)
+
+
+def _larger(x: Column, y: Column) -> Column:
+    return (y["n"] < x["n"]) | ((y["n"] == x["n"]) & (y["fingerprint"] < x["fingerprint"]))
+
+
+def _told(x: Column, y: Column, sig: Column, least: float) -> Column:
+    """The similarity of two sets of codes, if it is ``least`` or more and ``sig`` is their first common signature; else null. The first lies in both prefixes of any pair in reach."""
+    score = lambda c: F.when(F.get(c, F.lit(0)) == sig, F.size(c).cast("double") / (F.size(x) + F.size(y) - F.size(c)))
+    return _let(_let(F.array_intersect(x, y), score), lambda v: F.when(v >= least, v))
+
+
+def _rare(sets: DataFrame, shared: DataFrame, least: float) -> DataFrame:
+    """(a, b, score) of the pairs whose first common signature is one of ``FEW`` sets or less: a row for each pair, at most ``FEW`` for each signature of a set."""
+    at = F.explode("meets").alias("at")
+    some = shared.filter(F.col("sets") <= FEW).select("sig", "fingerprint", "n", "left", "band", at)
+    groups = some.groupBy("sig", "at").agg(F.collect_list(F.struct("fingerprint", "n", "left", (F.col("at") == F.col("band")).alias("own"))).alias("members"))
+    x = F.col("x")
+    smaller = F.filter("members", lambda y: _larger(x, y) & _may(x, y, least))
+    met = groups.select("sig", "members", F.explode("members").alias("x")).select("sig", x["fingerprint"].alias("a"), F.explode(F.transform(smaller, lambda y: y["fingerprint"])).alias("b"))
+    pairs = met.groupBy("a", "b").agg(F.min("sig").alias("sig"))
     of = lambda c: sets.select(F.col("fingerprint").alias(c), F.col("codes").alias(f"codes_{c}"))
-    scored = pairs.join(of("a").hint("merge"), "a").join(of("b").hint("merge"), "b").withColumn("score", likeness(F.col("codes_a"), F.col("codes_b")))
-    return classes, scored.filter(F.col("score") >= least).select("a", "b", "score")
+    scored = pairs.join(of("a").hint("merge"), "a").join(of("b").hint("merge"), "b")
+    return scored.select("a", "b", _told(F.col("codes_a"), F.col("codes_b"), F.col("sig"), least).alias("score")).filter("score IS NOT NULL")
+
+
+def _blocks(sets: DataFrame, shared: DataFrame, piece: int) -> DataFrame:
+    """``(sig, band, low, high, members)``: the sets of each signature of more than ``FEW``, whole, by band.
+
+    A signature with over ``piece`` sets (a long one counts more) is cut into parts of half that size, and each two of them, and each with itself, make a block.
+    """
+    parts = F.when(F.col("load") > piece, F.ceil(2 * F.col("load") / piece)).otherwise(1).cast("int")
+    some = shared.filter(F.col("sets") > FEW).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("fingerprint"), F.col("parts")).cast("int"))
+    member = F.struct("fingerprint", "n", "left", "part", "codes", (F.col("meets.at") == F.col("band")).alias("own"))
+    places = F.flatten(F.transform("meets", lambda at: F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(at.alias("at"), F.least("part", i).alias("low"), F.greatest("part", i).alias("high")))))
+    dealt = some.join(sets.hint("merge"), "fingerprint").withColumn("meets", F.explode(places)).select("sig", "meets.*", member.alias("member"))
+    return dealt.groupBy("sig", F.col("at").alias("band"), "low", "high").agg(F.collect_list("member").alias("members"))
+
 
+def _score(x: Column, y: Column, least: float) -> Column:
+    """The similarity of two members of a block, if this block is the one that tells it; pairs of one part are told in that part's own block."""
+    apart = ((F.col("low") == F.col("high")) | (x["part"] != y["part"])) & (x["fingerprint"] != y["fingerprint"])
+    return F.when(apart & _may(x, y, least), _told(x["codes"], y["codes"], F.col("sig"), least))
 
-def with_links(docs: DataFrame, least: float = LINKED, key: str = "doc_id", text: str = "text", classes: DataFrame | None = None) -> DataFrame:
-    """(fingerprint, class_id, copies, links): ``similar``'s classes (or those given, where they are known) with the number of other classes each is linked to, as a written table."""
-    own, pairs = similar(docs, least, key, text)
-    classes = own if classes is None else classes
-    links = pairs.select(F.explode(F.array("a", "b")).alias("fingerprint")).groupBy("fingerprint").agg(F.count("*").alias("links"))
+
+def similar(docs: DataFrame, least: float = LINKED, key: str = "doc_id", text: str = "text", piece: int = PIECE) -> tuple[DataFrame, DataFrame]:
+    """``(classes, pairs)``: (fingerprint, class_id, copies) of all sets, and (a, b, score) of different sets of similarity ``least`` (below 1) or more.
+
+    A class is all documents of one set, named by its least id (null if it has only null ids); sets take part once, however many copies they
+    have. a and b are fingerprints, and a is the larger set. The empty set pairs with nothing, nor do sets so small that one signature more or less parts them.
+
+    Sets are dealt by the signatures of their prefixes and by length bands (``_shared``). A pair is told by its first common signature alone: if few
+    sets have it, the pair is a row that meets its two sets, else it is told within a block of whole sets.
+    Here each pair is a row, so rows grow with the square of a family of near copies; ``with_links`` counts them without.
+    """
+    own, classes = _classes(docs, key, text)
+    sets, shared = _shared(own, loads(docs, text), least)
+    x = F.col("x")
+    near = F.transform(F.filter("members", lambda y: _larger(x, y)), lambda y: F.struct(y["fingerprint"].alias("b"), _score(x, y, least).alias("score")))
+    rows = _blocks(sets, shared, piece).select("*", F.explode("members").alias("x"))
+    return classes, _rare(sets, shared, least).unionByName(rows.select(x["fingerprint"].alias("a"), F.inline(F.filter(near, lambda p: p["score"].isNotNull()))))
+
+
+def with_links(docs: DataFrame, least: float = LINKED, key: str = "doc_id", text: str = "text", classes: DataFrame | None = None, piece: int = PIECE) -> DataFrame:
+    """(fingerprint, class_id, copies, links): ``similar``'s classes (or those given, where they are known) with the number of other classes each is linked to, as a written table.
+
+    Blocks count their members' links in place and give a row for each member, so no rows are made for the pairs of a large family.
+    """
+    own, told = _classes(docs, key, text)
+    classes = told if classes is None else classes
+    sets, shared = _shared(own, loads(docs, text), least)
+    near = lambda x: F.size(F.filter("members", lambda y: _score(x, y, least).isNotNull())).cast("bigint")
+    counted = F.transform("members", lambda x: F.struct(x["fingerprint"].alias("fingerprint"), near(x).alias("links")))
+    rare = _rare(sets, shared, least).select(F.explode(F.array("a", "b")).alias("fingerprint"), F.lit(1).cast("bigint").alias("links"))
+    links = rare.unionByName(_blocks(sets, shared, piece).select(F.inline(counted))).groupBy("fingerprint").agg(F.sum("links").alias("links")).filter("links > 0")
     return stored(classes.join(links.hint("merge"), "fingerprint", "left").withColumn("links", F.coalesce("links", F.lit(0).cast("bigint"))), "classes")
 
 
