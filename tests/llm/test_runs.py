@@ -1,9 +1,12 @@
 """Pieces of a lower-casing tokenizer are put together from their runs; their ids are the library's, and few reach the library."""
 
+import random
+
 import numpy as np
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
+from quire.llm import encoding  # noqa: E402
 from quire.llm.encoding import PieceEncoder  # noqa: E402
 
 ODD = [
@@ -33,3 +36,25 @@ def test_forms_of_a_word_reach_the_library_once(monkeypatch):
 
 def test_other_tokenizers_keep_whole_pieces():
     assert not PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"), True).in_runs
+
+
+def test_cache_holds_runs_alone(monkeypatch):
+    encoder = PieceEncoder(public_tokenizers.path("word_bpe_49k.json"), False)
+    before, text = set(encoder.inner), "Qualoria, (QUALORIA) qualoria.\nVant-qualoria! 12's"
+    monkeypatch.setattr(encoder, "_divided", lambda pieces: pytest.fail("runs are told by their last tokens"), raising=False)
+    assert encoder.encode([text, "", text]) == [library(encoder, x) for x in (text, "", text)]
+    assert set(encoder.inner) - before == {"qualoria", "vant", ",", "(", ")", ".", "-", "!", "'s"}
+
+
+@pytest.mark.parametrize("full", (False, True))
+def test_any_mix_of_characters(monkeypatch, full):
+    """Plain and odd words in one batch and over batches, with and without room in the cache."""
+    if full:
+        monkeypatch.setattr(encoding, "CACHE_BYTES", 0)
+    monkeypatch.setattr(encoding, "_PLACES", 7, raising=False)
+    encoder, r = PieceEncoder(public_tokenizers.path("word_bpe_49k.json"), False), random.Random(4)
+    signs = [*"abtzßéÉÑ019'’.,!<>/w", *" \n\t\r\x0b\x0c\0\x1c\x85\xa0　", *"µªİΣςДж日́²🙂", "'s", "'LL", "</w>", "the", "Station"]
+    for n in (0, 1, 60):
+        texts = ["".join(r.choices(signs, [4] * 20 + [3] * (len(signs) - 20), k=r.randrange(90))) for _ in range(n)]
+        for texts in (texts, [x.replace("\0", "").encode("ascii", "ignore").decode() for x in texts]):
+            assert encoder.encode(texts) == [library(encoder, x) for x in texts]
