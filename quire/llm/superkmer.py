@@ -16,7 +16,7 @@ Strings and windows are compared as bytes, so counts are exact.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from zlib import crc32
 
 import numpy as np
@@ -32,8 +32,8 @@ GRAM = 4
 #: Words of a document that are cut into super-k-mers at once.
 _RUN = 1 << 18
 _BATCH = 2048
-#: Text bytes for each bucket, packed bytes of a bucket and windows of a minimiser beyond which windows go on one by one.
-TEXT_BYTES, BUCKET_BYTES, HOT = 4 << 20, 32 << 20, 50_000
+#: Text bytes for each bucket, unpacked bytes of a bucket and windows of a minimiser beyond which windows go on one by one.
+TEXT_BYTES, BUCKET_BYTES, HOT = 4 << 20, 64 << 20, 50_000
 
 
 def _minima(x: np.ndarray, span: int) -> np.ndarray:
@@ -89,6 +89,23 @@ def _unpack(raw: bytes) -> tuple[np.ndarray, list[bytes]]:
     return rows, [raw[e - s : e] for e, s in zip(ends, sizes.tolist())]
 
 
+def _buckets(pieces: Iterable[tuple[int, bytes]], most: int) -> Iterator[tuple[bool, list[bytes]]]:
+    """(whether they are the whole bucket, packs) of sorted (bucket, pack); those of a bucket beyond ``most`` bytes, unpacked, come in parts."""
+    now, packs, size = None, [], 0
+    for bucket, raw in pieces:
+        if bucket != now:
+            if packs:
+                yield True, packs
+            now, packs, size = bucket, [], 0
+        size += zstandard.frame_content_size(raw)
+        packs.append(raw)
+        if size > most:
+            yield False, packs
+            packs = []
+    if packs:
+        yield True, packs
+
+
 def _windows(packed: bytes, n: int, width: int) -> list[bytes]:
     words = packed.split(b" ")
     if n == 1:
@@ -217,21 +234,13 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, buckets: int | None = No
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[tuple]:
-            now, packed, size = None, [], 0
-            for batch in batches:
-                for bucket, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    if bucket != now:
-                        if packed:
-                            yield from counted(packed)
-                        now, packed, size = bucket, [], 0
-                    size += len(raw)
-                    packed.append(raw)
-                    if size > BUCKET_BYTES:
-                        for own in packed:
-                            yield from passed_on(own)
-                        packed = []
-            if packed:
-                yield from counted(packed)
+            pieces = (x for batch in batches for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            for whole, packs in _buckets(pieces, BUCKET_BYTES):
+                if whole:
+                    yield from counted(packs)
+                else:
+                    for own in packs:
+                        yield from passed_on(own)
 
         for rows in chunked(found(), 1 << 15):
             yield batch_of(rows)

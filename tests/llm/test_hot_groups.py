@@ -38,3 +38,14 @@ def test_hot_passage(spark, monkeypatch, hot, bucket):
     want = brute(texts, 12)
     assert [got[i].kept for i in range(len(texts))] == want
     assert all(got[i].n_words - got[i].n_removed == len(want[i].split()) for i in range(len(texts)))
+
+
+def test_bucket_is_bounded_unpacked():
+    """Alike strings pack to almost nothing; what counts for a task's memory is their unpacked size."""
+    packs = []
+    for k in range(8):
+        strings = [b"%d " % (1000 * k + i) + b"0 " * 500 for i in range(1000)]
+        packs.append(superkmer._pack([(1, i, 0, 0, 1, i) for i in range(1000)], strings))
+    assert sum(map(len, packs)) < 1 << 20
+    held = [(whole, len(own)) for whole, own in superkmer._buckets([(0, packs[0])] + [(1, x) for x in packs] + [(2, packs[0])], 3 << 20)]
+    assert held == [(True, 1), (False, 3), *[(False, 1)] * 5, (True, 1)]
